@@ -198,8 +198,9 @@ def _predict(batches: Iterator[pa.RecordBatch], models: Models) -> Iterator[pa.R
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Models:
     """Models from at most about train_docs rows (by id hash) with `learn` true and a language; counts are made distributedly.
 
-    The rejection limit is calibrated on the same rows: the largest cross-entropy of a row plus a quarter, so that known
-    text is kept and only text unlike every language is rejected.
+    The rejection limit is calibrated on the same rows: the largest cross-entropy of a row plus a quarter, or three
+    fifths of the way from the median to that of even odds if more, so that known text is kept and only text unlike every
+    language is rejected.
     """
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
@@ -211,8 +212,9 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     models = fit(counts)
     if models.langs:
         scored = bounded.select("id", "text").mapInArrow(partial(_predict, models=models), "id string, lang_pred string, score double, cross_entropy double, rejected boolean")
-        top = scored.agg(F.max("cross_entropy")).first()[0]
-        models.limit = np.inf if top is None else top * 1.25
+        top, mid = scored.agg(F.max("cross_entropy"), F.percentile_approx("cross_entropy", 0.5)).first()
+        if top is not None:
+            models.limit = max(1.25 * top, mid + 0.6 * (-models.floor - mid))
     return models
 
 
@@ -223,8 +225,9 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     null or has no letter, or no language was learned. score is the weight of the best language against the others.
     `rejected` marks `und` and texts whose lowest cross-entropy is over the calibrated limit. Repeated rows each have a row.
     """
-    kept = [F.col(c) for c in carry or []]
+    carry = carry or []
+    kept = [F.col(f"`{c}`").alias(f"carried_{k}") for k, c in enumerate(carry)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean"
-    schema += "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry or [])
-    return rows.mapInArrow(partial(_predict, models=models), schema).withColumnRenamed("id", id_col)
+    schema += "".join(f", carried_{k} {rows.schema[f'carried_{k}'].dataType.simpleString()}" for k in range(len(carry)))
+    return rows.mapInArrow(partial(_predict, models=models), schema).toDF(id_col, "lang_pred", "score", "cross_entropy", "rejected", *carry)

@@ -90,12 +90,12 @@ def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
-def column_generation(demand: np.ndarray, capacity: int, rounds: int = 1500) -> list[tuple[int, np.ndarray]]:
+def column_generation(demand: np.ndarray, capacity: int, rounds: int = 20_000, gap: float = 5e-4) -> list[tuple[int, np.ndarray]]:
     """(times, pattern) that together hold `demand[k]` items of size k + 1.
 
     The linear program over patterns is solved by revised simplex steps: the basis inverse gives prices, the knapsack finds
-    the pattern worth most at them, a ratio test lets it in. It ends when no pattern is worth over a sequence, or after
-    `rounds` steps. Times are rounded down, and first-fit decreasing patterns hold the few items left.
+    the pattern worth most at them, a ratio test lets it in. It ends when no pattern is worth over 1 + gap sequences, which
+    bounds the distance to the optimum by the same share (Farley), or after `rounds` steps. Times are rounded down, and first-fit decreasing patterns hold the few items left.
     """
     sizes = np.flatnonzero(demand)
     if not len(sizes):
@@ -109,7 +109,7 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 1500) ->
         values = np.zeros(len(demand))
         values[sizes] = np.maximum(inverse.sum(axis=0), 0)
         worth, pattern = price(values, capacity)
-        if worth <= 1 + 1e-7:
+        if worth <= 1 + gap:
             break
         direction = inverse @ pattern[sizes]
         with np.errstate(divide="ignore", invalid="ignore"):
