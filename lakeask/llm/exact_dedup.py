@@ -10,6 +10,9 @@ from .common import stage
 #: which lets more single rows through to the exact step but never loses a repeated one.
 BROADCAST_WORDS = 1 << 20
 
+#: Parts that each group of copies is dealt to when its rows get their verdict.
+SALTS = 32
+
 
 def _bits(h: Column) -> Column:
     """Three of 64 bits, from other bits of the hash than those that choose the word."""
@@ -54,5 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     single = flagged.filter(~F.col("maybe")).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = flagged.filter("maybe").select("row", "id", "text_sha256")
     groups = maybe.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    again = maybe.join(groups, "text_sha256").select("row", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    maybe = maybe.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    again = maybe.join(salted, ["text_sha256", "salt"]).select("row", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return single.union(again)
