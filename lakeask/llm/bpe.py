@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache, partial
@@ -19,6 +20,8 @@ from .vocabulary import default_path, encoder, pretokens, ranks
 #: UTF-8 bytes of text that share one word list; a longer text has a list of its own.
 CHUNK_BYTES = 24 << 20
 
+_MISSING = "a chunk's words are missing: the input gives other rows each time it is read; write it to a table first"
+
 
 class _Chunk:
     """Words of a chunk numbered by first appearance, and each document's word numbers in order of position."""
@@ -50,13 +53,42 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
         yield chunk
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exploded pre-tokens, once per chunk: (chunk, number, word)."""
+def _pack(values: list[bytes]) -> bytes:
+    """Byte strings as one compressed value."""
+    lengths = np.fromiter(map(len, values), "<u4", len(values))
+    return zstandard.compress(len(values).to_bytes(4, "little") + _planes(lengths) + b"".join(values), 3)
+
+
+def _unpack(packed: bytes) -> list[bytes]:
+    raw = zstandard.decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(_unplanes(raw[4 : 4 + 4 * n])) + 4 + 4 * n
+    return [raw[a:b] for a, b in itertools.pairwise([4 + 4 * n, *ends.tolist()])]
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on, which compresses better."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Exploded pre-tokens, once per chunk, dealt by a hash of the word: (bucket, chunk, word numbers, words), lists packed."""
     for chunk in _chunks(batches):
-        key, words = chunk.key(), list(chunk.words)
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.binary()), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array([w.encode("utf-8", "surrogatepass") for w in part], pa.binary())], ["chunk", "number", "word"])
+        key = chunk.key()
+        dealt: list[tuple[list[int], list[bytes]]] = [([], []) for _ in range(buckets)]
+        for number, word in enumerate(chunk.words):
+            raw = word.encode("utf-8", "surrogatepass")
+            numbers, words = dealt[zlib.crc32(raw) % buckets]
+            numbers.append(number)
+            words.append(raw)
+        for bucket, (numbers, words) in enumerate(dealt):
+            if words:
+                steps = zstandard.compress(_planes(np.diff(np.array(numbers), prepend=0)), 3)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([key], pa.binary()), pa.array([steps], pa.binary()), pa.array([_pack(words)], pa.binary())], ["bucket", "chunk", "numbers", "words"])
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +102,7 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens += len(chunk.numbers[end])
                 end += 1
             flat = np.concatenate(chunk.numbers[at:end])
-            packed = zstandard.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+            packed = zstandard.compress(_planes(flat), 3)
             lengths = [len(x) for x in chunk.numbers[at:end]]
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([chunk.ids[at:end]], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary())], ["chunk", "ids", "lengths", "packed"])
             at = end
@@ -81,13 +113,14 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     single = encoder(path)._encode_single_piece
     known: dict[bytes, bytes] = {}
     for batch in batches:
-        out = []
-        for word in batch.column("word").to_pylist():
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = np.array(single(word), "<u4").tobytes()
-            out.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("number"), pa.array(out, pa.binary())], ["chunk", "number", "tokens"])
+        for row in range(batch.num_rows):
+            out = []
+            for word in _unpack(batch.column("words")[row].as_py()):
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = np.array(single(word), "<u4").tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(row, 1), batch.column("numbers").slice(row, 1), pa.array([_pack(out)], pa.binary())], ["chunk", "numbers", "tokens"])
 
 
 @cache
@@ -101,40 +134,38 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 def _reassemble(words: pa.Table, positions: pa.Table, path: str, finish: str) -> pa.Table:
-    numbers, tokens = words.column("number").to_numpy(), words.column("tokens").to_pylist()
-    table: list[np.ndarray | None] = [None] * (int(numbers.max()) + 1 if len(numbers) else 0)
-    for n, t in zip(numbers.tolist(), tokens, strict=True):
-        table[n] = np.frombuffer(t, "<u4")
+    ids_of: dict[int, bytes] = {}
+    for numbers, tokens in zip(words.column("numbers").to_pylist(), words.column("tokens").to_pylist(), strict=True):
+        ids_of.update(zip(np.cumsum(_unplanes(zstandard.decompress(numbers))).tolist(), _unpack(tokens), strict=True))
+    table = [np.frombuffer(ids_of[k], "<u4") if k in ids_of else None for k in range(max(ids_of, default=-1) + 1)]
     if any(x is None for x in table):
-        raise RuntimeError("a chunk's words are missing: the input gives other rows each time it is read; write it to a table first")
-    sizes = np.array([len(x) for x in table], np.int64)
-    flat = np.concatenate(table) if table else np.zeros(0, "<u4")
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if table else np.zeros(0, np.int64)
+        raise RuntimeError(_MISSING)
+    del ids_of
     lookup = token_bytes(path)
+    sizes = np.array([len(x) for x in table], np.int64)
+    numbers_of = [x.tolist() for x in table]
+    texts = [" ".join(map(str, x)) for x in numbers_of]
+    decoded = [b"".join(map(lookup.__getitem__, x)) for x in numbers_of]
     out: list[list] = [[], [], [], []]
     for row in range(positions.num_rows):
         ids, lengths = positions.column("ids")[row].as_py(), positions.column("lengths")[row].as_py()
-        raw = np.frombuffer(zstandard.decompress(positions.column("packed")[row].as_py()), np.uint8)
-        codes = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-        if len(codes) and not table:
-            raise RuntimeError("a chunk's words are missing: the input gives other rows each time it is read; write it to a table first")
+        codes = _unplanes(zstandard.decompress(positions.column("packed")[row].as_py()))
+        if len(codes) and codes.max() >= len(table):
+            raise RuntimeError(_MISSING)
         at = 0
         for doc_id, n in zip(ids, lengths, strict=True):
             own = codes[at : at + n]
             at += n
-            size = sizes[own]
-            total = int(size.sum())
-            shift = np.repeat(starts[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size) if total else np.zeros(0, np.int64)
-            encoded = flat[np.arange(total) + shift]
-            listed = encoded.tolist()
+            listed = own.tolist()
+            data = b"".join(map(decoded.__getitem__, listed))
             out[0].append(doc_id)
-            out[1].append(total)
+            out[1].append(int(sizes[own].sum()))
             if finish == "digest":
-                out[2].append(hashlib.sha256(" ".join(map(str, listed)).encode()).hexdigest())
-                out[3].append(hashlib.sha256(b"".join(map(lookup.__getitem__, listed))).hexdigest())
+                out[2].append(hashlib.sha256(" ".join(map(texts.__getitem__, listed)).encode()).hexdigest())
+                out[3].append(hashlib.sha256(data).hexdigest())
             else:
-                out[2].append(encoded.astype(np.int32).tolist())
-                out[3].append(b"".join(map(lookup.__getitem__, listed)))
+                out[2].append(list(itertools.chain.from_iterable(map(numbers_of.__getitem__, listed))))
+                out[3].append(data)
     if finish == "digest":
         return pa.table({"id": pa.array(out[0], pa.int64()), "n_tokens": pa.array(out[1], pa.int64()), "ids_sha256": pa.array(out[2], pa.string()), "decoded_sha256": pa.array(out[3], pa.string())})
     return pa.table({"id": pa.array(out[0], pa.int64()), "n_tokens": pa.array(out[1], pa.int64()), "ids": pa.array(out[2], pa.list_(pa.int32())), "decoded": pa.array(out[3], pa.binary())})
@@ -151,8 +182,9 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     path = path or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = rows.mapInArrow(_words, "chunk binary, number int, word binary").repartition("word")
-    encoded = words.mapInArrow(partial(_encode, path=path), "chunk binary, number int, tokens binary")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
+    words = rows.mapInArrow(partial(_words, buckets=buckets), "bucket int, chunk binary, numbers binary, words binary").repartition("bucket")
+    encoded = words.mapInArrow(partial(_encode, path=path), "chunk binary, numbers binary, tokens binary")
     positions = rows.mapInArrow(_positions, "chunk binary, ids array<long>, lengths array<int>, packed binary")
     finish: Callable = partial(_reassemble, path=path, finish="digest" if digests else "full")
     schema = "id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
