@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import stage
-from .vocabulary import default_path, pretokens
+from .vocabulary import default_path, encoder, pretokens
 
 #: Piece lengths are planned in units of so many tokens, so that the linear program has 1024 / QUANTUM rows at most.
 QUANTUM = 4
@@ -30,23 +30,27 @@ def tokenizer(path: str):
 class _Words(dict):
     """Packed ids of each pre-token, encoded once by the tokenizer; forgotten all at once when too many."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks_path: str | None):
         super().__init__()
-        self.encode = tokenizer(path).encode
+        self.whole = tokenizer(path).encode
+        self.single = encoder(ranks_path)._encode_single_piece if ranks_path else None
 
     def __missing__(self, word: str) -> bytes:
-        packed = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.single(word) if self.single else self.whole(word, add_special_tokens=False).ids
+        packed = self[word] = np.array(ids, "<u4").tobytes()
         return packed
 
 
-_known: dict[str, tuple[_Words, tuple[str, ...]]] = {}
+_known: dict[tuple, tuple[_Words, tuple[str, ...]]] = {}
 
 
-def encode(text: str | None, path: str) -> bytes:
-    """Packed little-endian ids of the text, then id 0. Texts with a special token's string go to the tokenizer whole."""
-    if path not in _known:
-        _known[path] = _Words(path), tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
-    words, special = _known[path]
+def encode(text: str | None, path: str, ranks_path: str | None = None) -> bytes:
+    """Packed little-endian ids of the text, then id 0. Texts with a special token's string go to the tokenizer whole; the
+    words of others are encoded one by one, from the same vocabulary as ranks where its path is given (it is faster)."""
+    key = path, ranks_path
+    if key not in _known:
+        _known[key] = _Words(path, ranks_path), tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+    words, special = _known[key]
     if len(words) > REMEMBER:
         words.clear()
     text = text or ""
@@ -57,11 +61,11 @@ def encode(text: str | None, path: str) -> bytes:
     return ids + b"\0\0\0\0"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, ranks_path: str | None, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = encode(text.as_py(), path)
+            ids = encode(text.as_py(), path, ranks_path)
             for at in range(0, len(ids), 4 * size):
                 part = ids[at : at + 4 * size]
                 for column, value in zip(out, (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4), strict=True):
@@ -167,7 +171,7 @@ def _assign(batches: Iterator[pa.RecordBatch], segments: np.ndarray, offsets: np
         yield pa.RecordBatch.from_arrays([*keep, pa.array(segments[at, 2] + rank - segments[at, 1])], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"])
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for every piece of every document's ids with id 0 last.
 
     A document is cut at every `size` ids; the rests' length histogram (units of QUANTUM) goes to the column generation,
@@ -176,7 +180,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     piece, the id 0. Repeated rows and null ids are packed like any other. An empty table gives no piece.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(partial(_pieces, path=path or default_path("byte_bpe_50k.json"), size=size), "id long, start long, length long, ids_crc32 long, doc_tokens long")
+    if path is None:
+        path, ranks_path = default_path("byte_bpe_50k.json"), default_path("byte_bpe_50k.tiktoken")
+    rows = rows.mapInArrow(partial(_pieces, path=path, ranks_path=ranks_path, size=size), "id long, start long, length long, ids_crc32 long, doc_tokens long")
     kind = F.ceil(F.col("length") / QUANTUM).cast("int") - 1
     rows = stage(rows.withColumns({"kind": kind, "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")}), "pieces")
     kinds = -(-size // QUANTUM)
