@@ -15,6 +15,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from .common import bounded_batches
 from .vocabulary import default_path, encoder, pretokens, ranks
 
 #: UTF-8 bytes of text that share one word list; a longer text has a list of its own.
@@ -180,6 +181,7 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shuffle, so the commonest words make no hot task. Null texts equal empty ones: no tokens, empty bytes. Repeated rows
     each have a row; null ids stay null. The input is scanned twice and must give the same rows both times, else it fails.
     """
+    bounded_batches(docs.sparkSession)
     path = path or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import sample_by_hash
+from .common import bounded_batches, sample_by_hash
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -20,6 +20,8 @@ DISCOUNT = 0.75
 TRAIN_DOCS = 12_000
 #: Nats by which a whole text must be over the limit, so that a few odd letters are no ground for rejection.
 EVIDENCE = 30.0
+#: Words whose scores a task remembers between batches.
+REMEMBER = 200_000
 
 _letters = re.compile(r"[^\W\d_]+").findall
 
@@ -156,31 +158,44 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array([g.encode("utf-8", "surrogatepass") for g in grams], pa.binary()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
 
-def entropies(texts: list[str | None], models: Models) -> tuple[np.ndarray, np.ndarray]:
+class WordScores(dict):
+    """Row numbers of the scores of words already seen; at most REMEMBER words and those of one batch are held."""
+
+    def __init__(self, models: Models):
+        super().__init__()
+        self.models, self.sums, self.sizes = models, np.zeros((0, len(models.langs))), np.zeros(0, np.int64)
+
+    def learn(self, lists: list[list[str]]) -> None:
+        if len(self) > REMEMBER:
+            self.clear()
+            self.sums, self.sizes = self.sums[:0], self.sizes[:0]
+        new = [w for w in set().union(*lists) if w not in self]
+        if new:
+            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+            parts = [self.models.score(new[i : i + 10_000]) for i in range(0, len(new), 10_000)]
+            self.sums = np.concatenate([self.sums, *parts])
+            self.sizes = np.concatenate([self.sizes, [len(w) + 1 for w in new]])
+
+
+def entropies(texts: list[str | None], seen: WordScores) -> tuple[np.ndarray, np.ndarray]:
     """Length-normalised cross-entropy (nats a character) of each text in each language, and its number of characters."""
     lists = [words_of(t) for t in texts]
-    number: dict[str, int] = {}
-    for words in lists:
-        for w in words:
-            number.setdefault(w, len(number))
-    distinct = list(number)
-    sums = np.concatenate([models.score(distinct[i : i + 20_000]) for i in range(0, len(distinct), 20_000)]) if distinct else np.zeros((0, len(models.langs)))
-    sizes = np.array([len(w) + 1 for w in distinct], np.int64)
-    out, chars = np.zeros((len(texts), len(models.langs))), np.zeros(len(texts), np.int64)
+    seen.learn(lists)
+    out, chars = np.zeros((len(texts), len(seen.models.langs))), np.zeros(len(texts), np.int64)
     for row, words in enumerate(lists):
         if words:
-            at = np.array(list(map(number.__getitem__, words)))
-            chars[row] = sizes[at].sum()
-            out[row] = -sums[at].sum(axis=0) / chars[row]
+            at = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+            chars[row] = seen.sizes[at].sum()
+            out[row] = -seen.sums[at].sum(axis=0) / chars[row]
     return out, chars
 
 
-def _predict(batches: Iterator[pa.RecordBatch], models: Models) -> Iterator[pa.RecordBatch]:
-    names = np.array([*models.langs, "und"], object)
+def _predict(batches: Iterator[pa.RecordBatch], models: Models, text_at: int, id_at: int, carry: list[int]) -> Iterator[pa.RecordBatch]:
+    names, seen = np.array([*models.langs, "und"], object), WordScores(models)
     for whole in batches:
-        for start in range(0, whole.num_rows, 2000):
-            batch = whole.slice(start, 2000)
-            cross, chars = entropies(batch.column(1).to_pylist(), models)
+        for start in range(0, whole.num_rows, 500):
+            batch = whole.slice(start, 500)
+            cross, chars = entropies(batch.column(text_at).to_pylist(), seen)
             if models.langs:
                 best = cross.argmin(axis=1)
                 lowest = cross[np.arange(len(best)), best]
@@ -192,7 +207,8 @@ def _predict(batches: Iterator[pa.RecordBatch], models: Models) -> Iterator[pa.R
             best = np.where(none, len(models.langs), best)
             score = np.where(none, 0.0, score)
             rejected = none | ((lowest - models.limit) * np.maximum(chars, 1) > EVIDENCE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(np.where(none, np.nan, lowest), from_pandas=True), pa.array(rejected), *[batch.column(k) for k in range(2, batch.num_columns)]], ["id", "lang_pred", "score", "cross_entropy", "rejected", *batch.schema.names[2:]])
+            out = [batch.column(id_at), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(np.where(none, np.nan, lowest), from_pandas=True), pa.array(rejected), *[batch.column(k) for k in carry]]
+            yield pa.RecordBatch.from_arrays(out, [f"o{k}" for k in range(len(out))])
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Models:
@@ -202,6 +218,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     fifths of the way from the median to that of even odds if more, so that known text is kept and only text unlike every
     language is rejected.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
     bounded = sample_by_hash(rows, F.col("id"), train_docs)
@@ -211,7 +228,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         counts[lang][bytes(gram).decode("utf-8", "surrogatepass")] = n
     models = fit(counts)
     if models.langs:
-        scored = bounded.select("id", "text").mapInArrow(partial(_predict, models=models), "id string, lang_pred string, score double, cross_entropy double, rejected boolean")
+        scored = identify(bounded, models, "id", "text")
         top, mid = scored.agg(F.max("cross_entropy"), F.percentile_approx("cross_entropy", 0.5)).first()
         if top is not None:
             models.limit = max(1.25 * top, mid + 0.6 * (-models.floor - mid))
@@ -219,15 +236,21 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
 
 def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(id, lang_pred, score, cross_entropy, rejected, carried columns) for every row, from its whole text alone.
+    """(id, lang_pred, score, cross_entropy, rejected, struct `carried` of columns) for every row, from its whole text alone.
 
     lang_pred has the lowest length-normalised cross-entropy (ties: first by name), or `und` with score 0 if the text is
     null or has no letter, or no language was learned. score is the weight of the best language against the others.
     `rejected` marks `und` and texts whose lowest cross-entropy is over the calibrated limit. Repeated rows each have a row.
     """
     carry = carry or []
-    kept = [F.col(f"`{c}`").alias(f"carried_{k}") for k, c in enumerate(carry)]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept)
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean"
-    schema += "".join(f", carried_{k} {rows.schema[f'carried_{k}'].dataType.simpleString()}" for k in range(len(carry)))
-    return rows.mapInArrow(partial(_predict, models=models), schema).toDF(id_col, "lang_pred", "score", "cross_entropy", "rejected", *carry)
+    bounded_batches(docs.sparkSession)
+    names = list(dict.fromkeys([id_col, text_col, *carry]))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    kinds = [f.dataType.simpleString() for f in rows.schema]
+    at = [names.index(c) for c in carry]
+    schema = ", ".join(f"o{k} {t}" for k, t in enumerate([kinds[0], "string", "double", "double", "boolean", *[kinds[k] for k in at]]))
+    found = rows.mapInArrow(partial(_predict, models=models, text_at=names.index(text_col), id_at=0, carry=at), schema)
+    found = found.toDF(id_col, "lang_pred", "score", "cross_entropy", "rejected", *[f"c{k}" for k in range(len(carry))])
+    if not carry:
+        return found
+    return found.select(*found.columns[:5], F.struct(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)]).alias("carried"))

@@ -10,14 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import stage
+from .common import bounded_batches, stage
 from .vocabulary import default_path, encoder, pretokens
 
 #: Piece lengths are planned in units of so many tokens, so that the linear program has 1024 / QUANTUM rows at most.
 QUANTUM = 4
 #: Groups that the pieces of one length are dealt to for ranking.
 SALTS = 64
-REMEMBER = 1_000_000
+REMEMBER = 300_000
 
 
 @cache
@@ -179,6 +179,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     driver. A sequence holds at most `size` ids; offsets in it run from 0 without a gap. Null texts equal empty ones: one
     piece, the id 0. Repeated rows and null ids are packed like any other. An empty table gives no piece.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if path is None:
         path, ranks_path = default_path("byte_bpe_50k.json"), default_path("byte_bpe_50k.tiktoken")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import sample_by_hash
+from .common import bounded_batches, sample_by_hash
 
 #: Most labelled documents the model is fitted on.
 TRAIN_DOCS = 6_000
@@ -181,5 +181,6 @@ def score_quality(docs: DataFrame, field: Field, id_col: str = "doc_id", text_co
 
     Null, empty and blank texts have no line and score 0. Repeated rows each have a row; ids may be null.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(partial(_score, field=field), f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)

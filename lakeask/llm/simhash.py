@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage, tile_hot_keys
+from .common import bounded_batches, stage, tile_hot_keys
 from .components import connected_components, forest
 
 #: Runs up to this length are compared by offset, longer ones by growing clusters.
@@ -152,6 +152,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     multiply. Candidate pairs come from masked fingerprints that links must share; the pivot distance tables discard
     those with a coordinate difference over `distance`, and the Hamming distance verifies the rest.
     """
+    bounded_batches(docs.sparkSession)
     prints = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = stage(prints.mapInArrow(partial(_fingerprints, words=words), "id long, fp long"), "prints")
     parts = fingerprint_components(prints, distance)

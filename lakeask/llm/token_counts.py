@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import bounded_batches
 from .vocabulary import default_path, pretokens, ranks
 
 
@@ -55,7 +56,7 @@ class Trie:
 
 
 #: Words a worker remembers between batches; beyond it the memory is emptied and filled anew.
-REMEMBER = 1_000_000
+REMEMBER = 300_000
 _known: dict[str, dict[str, int]] = {}
 
 
@@ -83,6 +84,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_tokens sums, over the pre-tokens of the text, the tokens of the best unigram segmentation. Null and empty texts have
     none. Repeated rows are counted each; a null id stays null. The vocabulary file is a parameter.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(partial(_counts, path=path or default_path()), "id long, n_tokens long, n_pretokens long")
     return out.withColumnRenamed("id", id_col)

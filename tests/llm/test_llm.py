@@ -328,8 +328,8 @@ def test_language(spark, docs):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = (F.crc32(F.col("doc_id").cast("string")) % 3) == 1
     models = language.train(frame, ~out)
-    got = language.identify(frame, models, carry=["lang"]).filter(out & F.col("lang").isNotNull()).collect()
-    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.97 and not any(r["rejected"] for r in got)
+    got = language.identify(frame, models, carry=["lang"]).filter(out & F.col("carried.lang").isNotNull()).collect()
+    assert np.mean([r["lang_pred"] == r["carried"]["lang"] for r in got]) > 0.97 and not any(r["rejected"] for r in got)
     assert all(0 <= r["score"] <= 1 for r in got)
     odd = {r["doc_id"]: r for r in language.identify(docs, models).collect()}
     assert {i for i, r in odd.items() if r["lang_pred"] == "und"} == {3, 4, 5, 9}
