@@ -16,9 +16,8 @@ ORACLE_SQL = None
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models accept. Models learn from rows as in op7; the rest of the row goes along."""
     models = language.train(docs, F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) != 1)
-    carried = docs.select("doc_id", "text", F.struct("*").alias("_row"))
-    found = language.identify(carried, models, carry=["_row"])
-    return found.filter("not rejected").select("_row.*")
+    found = language.identify(docs, models, carry=docs.columns)
+    return found.filter("not rejected").select("carried.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
