@@ -17,7 +17,8 @@ from .vocabulary import default_path, encoder, pretokens
 QUANTUM = 4
 #: Groups that the pieces of one length are dealt to for ranking.
 SALTS = 64
-REMEMBER = 300_000
+#: Pre-tokens whose ids a worker remembers.
+REMEMBER = 200_000
 
 
 @cache
@@ -32,25 +33,31 @@ class _Words(dict):
 
     def __init__(self, path: str, ranks_path: str | None):
         super().__init__()
-        self.whole = tokenizer(path).encode
+        self.path = path
         self.single = encoder(ranks_path)._encode_single_piece if ranks_path else None
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.single(word) if self.single else self.whole(word, add_special_tokens=False).ids
+        ids = self.single(word) if self.single else tokenizer(self.path).encode(word, add_special_tokens=False).ids
         packed = self[word] = np.array(ids, "<u4").tobytes()
         return packed
 
 
-_known: dict[tuple, tuple[_Words, tuple[str, ...]]] = {}
+_known: dict[tuple, _Words] = {}
 
 
-def encode(text: str | None, path: str, ranks_path: str | None = None) -> bytes:
+def special_strings(path: str) -> tuple[str, ...]:
+    """Strings that the tokenizer takes as one token wherever they stand."""
+    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+
+
+def encode(text: str | None, path: str, ranks_path: str | None = None, special: tuple[str, ...] | None = None) -> bytes:
     """Packed little-endian ids of the text, then id 0. Texts with a special token's string go to the tokenizer whole; the
     words of others are encoded one by one, from the same vocabulary as ranks where its path is given (it is faster)."""
-    key = path, ranks_path
-    if key not in _known:
-        _known[key] = _Words(path, ranks_path), tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
-    words, special = _known[key]
+    words = _known.get((path, ranks_path))
+    if words is None:
+        words = _known[path, ranks_path] = _Words(path, ranks_path)
+    if special is None:
+        special = special_strings(path)
     if len(words) > REMEMBER:
         words.clear()
     text = text or ""
@@ -61,11 +68,11 @@ def encode(text: str | None, path: str, ranks_path: str | None = None) -> bytes:
     return ids + b"\0\0\0\0"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, ranks_path: str | None, size: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, ranks_path: str | None, special: tuple[str, ...], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = encode(text.as_py(), path, ranks_path)
+            ids = encode(text.as_py(), path, ranks_path, special)
             for at in range(0, len(ids), 4 * size):
                 part = ids[at : at + 4 * size]
                 for column, value in zip(out, (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4), strict=True):
@@ -183,7 +190,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if path is None:
         path, ranks_path = default_path("byte_bpe_50k.json"), default_path("byte_bpe_50k.tiktoken")
-    rows = rows.mapInArrow(partial(_pieces, path=path, ranks_path=ranks_path, size=size), "id long, start long, length long, ids_crc32 long, doc_tokens long")
+    rows = rows.mapInArrow(partial(_pieces, path=path, ranks_path=ranks_path, special=special_strings(path), size=size), "id long, start long, length long, ids_crc32 long, doc_tokens long")
     kind = F.ceil(F.col("length") / QUANTUM).cast("int") - 1
     rows = stage(rows.withColumns({"kind": kind, "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")}), "pieces")
     kinds = -(-size // QUANTUM)
