@@ -11,6 +11,8 @@ from lakeask.llm.common import crc_of_id, stage
 
 #: SQL can't express the language models, fingerprints and packing; tests hold run() against a brute-force version.
 ORACLE_SQL = None
+#: Most ids (8 bytes each) of dropped documents that are broadcast; more of them meet the documents by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the document with the smallest doc_id."""
     found = simhash.simhash_dedup(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = stage(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
