@@ -95,19 +95,6 @@ def coverage(query: Column, value: Column) -> Column:
     return F.when(F.size(query) > 0, F.size(F.array_intersect(query, value)) / F.size(query)).otherwise(F.lit(0.0))
 
 
-def sequence_ratio():
-    """Ratcliff-Obershelp similarity of two texts, in Arrow batches; no built-in has it."""
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return ratio
-
-
 def fuzzy_verified(query: Column, value: Column, jac: Column, seq: Column, cover: Column) -> Column:
     """Second check of a fuzzy hit; seq is the dearest part and comes last."""
     return (query == value) | ((F.length(query) >= 2) & (cover >= COVER)) | (seq >= SEQUENCE) | ((jac >= LOW_JACCARD) & (seq >= LOW_SEQUENCE))
@@ -190,16 +177,3 @@ def extract_sql(c: Column) -> Column:
     fenced, any_fence, bare = (F.regexp_extract(said, p, 1) for p in (r"(?is)```sql\s*(.*?)```", r"(?is)```\s*(.*?)```", r"(?is)(\bselect\b.*)"))
     chosen = F.when(strip(fenced) != "", fenced).when(strip(any_fence) != "", any_fence).otherwise(bare)
     return F.regexp_replace(strip(chosen), r"[;\s]+$", "")
-
-
-def recover_json_array():
-    """Tolerant reading of a list of texts from a model's reply, in Arrow batches."""
-    import pandas as pd
-
-    @F.pandas_udf("array<string>")
-    def recover(replies: pd.Series) -> pd.Series:
-        from lakeask.plans.replies import text_list
-
-        return pd.Series([text_list(r) for r in replies], dtype=object)
-
-    return recover

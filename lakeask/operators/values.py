@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lakeask.functions.text import JACCARD, characters, coverage, fuzzy_verified, jaccard, match_form, sequence_ratio, strip
+from lakeask.functions.arrow import sequence_ratio
+from lakeask.functions.text import JACCARD, characters, coverage, fuzzy_verified, jaccard, match_form, strip
 from lakeask.operators.profile import long_form
 
 

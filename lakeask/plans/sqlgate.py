@@ -164,8 +164,9 @@ def where_literals(spark: SparkSession, sql: str) -> list[tuple[str, str]]:
     except Exception:
         return []
     out = []
+    negated = {e.children().apply(0).toString() for e in expressions if e.getClass().getSimpleName() == "Not"}
     for e in expressions:
-        if e.getClass().getSimpleName() in ("EqualTo", "In"):
+        if e.getClass().getSimpleName() in ("EqualTo", "In") and e.toString() not in negated:
             parts = [*_each(e.children())]
             names = [p for p in parts if p.getClass().getSimpleName() == "UnresolvedAttribute"]
             values = [p for p in parts if p.getClass().getSimpleName() == "Literal" and p.dataType().typeName() == "string"]
