@@ -24,7 +24,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2_000, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -> None:
     """Hold Arrow batches to a number of rows and bytes, so that a worker's memory doesn't follow the length of texts."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = spark.conf.get(name, str(most)).rstrip("bB")

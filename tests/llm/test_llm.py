@@ -263,6 +263,16 @@ def test_secrets_base(which, request):
     assert Counter((r[0], r[1]) for r in found.select("row.doc_id", secrets.span_text(F.filter("spans", lambda s: s["kind"] < 3))).collect()) == want
 
 
+def test_secrets_of_random_texts(spark):
+    rng = np.random.default_rng(9)
+    bits = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "=", ":", " = ", '"', "'", "abcdef", "ab-9", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "deadbeef", "é", " ", "\n", ".", "zz", "A", "漢", "://", "client_id", "user_name"]
+    rows = [(k, "".join(rng.choice(bits, rng.integers(1, 30)))) for k in range(1500)]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r[0]: r[1] for r in found.select("row.doc_id", secrets.span_text(F.filter("spans", lambda s: s["kind"] < 3))).collect()}
+    want = {k: ",".join(base_spans(t)) for k, t in rows}
+    assert got == want and sum(map(bool, want.values())) > 100
+
+
 def test_secrets_linked_and_redacted(docs):
     found = secrets.scan_secrets(docs).select("row.doc_id", "row.text", secrets.span_text("spans").alias("s"), secrets.redact(F.col("row.text"), F.col("spans")).alias("clean"))
     rows = {r["doc_id"]: r for r in found.collect()}
