@@ -46,15 +46,16 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, single_task_edges: int = 1 << 19) -> DataFrame:
+def connected_components(edges: DataFrame, single_task_edges: int = 1 << 19, contracted: bool = False) -> DataFrame:
     """(node, root) for every node of `edges` (columns u, v, long) that is not the smallest of its component.
 
-    Each partition first shrinks its edges to stars. If at most `single_task_edges` remain - a checked bound - one task
+    Each partition first shrinks its edges to stars, unless they come `contracted` from a Python step, so that no task needs
+    two workers. If at most `single_task_edges` remain - a checked bound - one task
     ends it; else large-star and small-star rounds run as joins and aggregates until nothing changes. Self links, nulls,
     repeated edges and an empty table are fine; nodes without a row are their own root.
     """
     edges = edges.filter("u is not null and v is not null and u <> v")
-    edges = stage(edges.mapInArrow(_contract, "u long, v long"), "edges")
+    edges = stage(edges if contracted else edges.mapInArrow(_contract, "u long, v long"), "edges")
     if edges.count() <= single_task_edges:
         return edges.coalesce(1).mapInArrow(_contract, "u long, v long").toDF("node", "root")
     before = None

@@ -127,7 +127,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dealt = tile_hot_keys(dealt, "key", F.col("node"), tile_rows).repartition("key", "tile_a", "tile_b")
     found = stage(dealt.mapInArrow(partial(_verify, threshold=threshold), "u long, v long, n long"), "links")
     number = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-    roots = connected_components(found.filter("v is not null").select("u", "v"))
+    roots = connected_components(found.filter("v is not null").select("u", "v"), contracted=True)
     parts = groups.join(number, "node", "left").join(roots, "node", "left")
     parts = parts.select("label", "vec", F.coalesce("root", "node").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = rows.filter(good).join(parts, ["label", "vec"]).select("id", "n_links", "component_id")

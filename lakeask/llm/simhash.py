@@ -139,7 +139,7 @@ def fingerprint_components(prints: DataFrame, distance: int = 4, tile_rows: int
     keyed = reps.filter("node is not null").select("fp", "node", F.explode(keys).alias("key"))
     dealt = tile_hot_keys(keyed, "key", F.col("fp"), tile_rows).repartition("key", "tile_a", "tile_b")
     edges = dealt.mapInArrow(partial(_verify, distance=distance), "u long, v long")
-    roots = connected_components(edges)
+    roots = connected_components(edges, contracted=True)
     return reps.join(roots, reps["node"] == roots["node"], "left").select("fp", F.coalesce("root", reps["node"]).alias("component"))
 
 
