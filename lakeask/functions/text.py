@@ -11,6 +11,7 @@ SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 INVISIBLE = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}\x{fffd}\x{feff}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{e000}-\x{f8ff}\x{f0000}-\x{fffff}\x{100000}-\x{10ffff}]"
 WIDE = "　" + "".join(map(chr, range(0xFF01, 0xFF5F))) + "。“”‘’【】、"
 NARROW = " " + "".join(map(chr, range(0x21, 0x7F))) + ".\"\"''[],"
+WIDE_CLASS = r"[\x{3000}\x{ff01}-\x{ff5e}。“”‘’【】、]"
 NULL_TOKENS = ("", "nan", "null", "none", "n/a")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 FORMATS = (("YYYY/MM/DD", r"^\d{4}/\d{1,2}/\d{1,2}$"), ("YYYY-MM-DD", r"^\d{4}-\d{1,2}-\d{1,2}$"), ("纯数字", r"^\d+$"), ("编码(字母+数字)", r"^[A-Za-z]\d+$"))
@@ -27,7 +28,9 @@ def strip(c: Column) -> Column:
 
 def half_width(c: Column) -> Column:
     """Full-width forms and CJK punctuation to ASCII, white space to single spaces; null to the empty text."""
-    return strip(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), WIDE, NARROW), f"{SPACE}+", " "))
+    c = F.coalesce(c, F.lit(""))
+    narrow = F.when(c.rlike(WIDE_CLASS), F.translate(c, WIDE, NARROW)).otherwise(c)  # translate is dear, and most texts have none
+    return strip(F.regexp_replace(narrow, f"{SPACE}+", " "))
 
 
 def strip_invisible(c: Column) -> Column:
