@@ -38,8 +38,10 @@ class _Chunk:
         self.numbers.append(np.array(list(map(self.words.__getitem__, pretokens(text))), np.uint32))
 
     def key(self) -> bytes:
-        """A digest of the word list: equal keys mean equal numbering, whichever task made the chunk."""
-        return xxhash.xxh3_128_digest("\x00".join(self.words).encode("utf-8", "surrogatepass")) + len(self.words).to_bytes(4, "big")
+        """A digest of the word list and the ids: equal keys mean equal numbering, whichever task made the chunk, and chunks
+        of copies of one text have keys of their own."""
+        listed = ",".join(map(str, self.ids)) + "\x00" + "\x00".join(self.words)
+        return xxhash.xxh3_128_digest(listed.encode("utf-8", "surrogatepass")) + len(self.words).to_bytes(4, "big")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
