@@ -15,8 +15,8 @@ from .vocabulary import default_path, encoder, pretokens
 
 #: Piece lengths are planned in units of so many tokens, so that the linear program has 1024 / QUANTUM rows at most.
 QUANTUM = 4
-#: Groups that the pieces of one length are dealt to for ranking.
-SALTS = 64
+#: Groups that the pieces of one length are dealt to for ranking; full pieces, the most by far in long texts, to more.
+SALTS, FULL_SALTS = 64, 4096
 #: Pre-tokens whose ids a worker remembers.
 REMEMBER = 200_000
 
@@ -172,7 +172,7 @@ def _assign(batches: Iterator[pa.RecordBatch], segments: np.ndarray, offsets: np
     starts = (segments[:, 0] << 44) + segments[:, 1]
     for batch in batches:
         kind, salt, rank = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("kind", "salt", "rank"))
-        rank = offsets[kind, salt] + rank
+        rank = offsets[kind * SALTS + salt] + rank
         at = np.searchsorted(starts, (kind.astype(np.int64) << 44) + rank, side="right") - 1
         keep = [batch.column(batch.schema.get_field_index(n)) for n in ("id", "start", "length", "ids_crc32", "doc_tokens")]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(segments[at, 2] + rank - segments[at, 1])], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"])
@@ -192,15 +192,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         path, ranks_path = default_path("byte_bpe_50k.json"), default_path("byte_bpe_50k.tiktoken")
     rows = rows.mapInArrow(partial(_pieces, path=path, ranks_path=ranks_path, special=special_strings(path), size=size), "id long, start long, length long, ids_crc32 long, doc_tokens long")
     kind = F.ceil(F.col("length") / QUANTUM).cast("int") - 1
-    rows = stage(rows.withColumns({"kind": kind, "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")}), "pieces")
     kinds = -(-size // QUANTUM)
-    counts = np.zeros((kinds, SALTS), np.int64)
+    salts = F.when(F.col("kind") == kinds - 1, FULL_SALTS).otherwise(SALTS)
+    rows = stage(rows.withColumn("kind", kind).withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")), "pieces")
+    counts = np.zeros((kinds - 1) * SALTS + FULL_SALTS, np.int64)
     for k, salt, n in rows.groupBy("kind", "salt").count().collect():
-        counts[k, salt] = n
-    segments = _segments(column_generation(counts.sum(axis=1), size // QUANTUM)) if counts.any() else np.zeros((0, 3), np.int64)
-    offsets = np.cumsum(counts, axis=1) - counts
-    ranked = rows.withColumn("rank", (F.row_number().over(W.partitionBy("kind", "salt").orderBy("id", "start")) - 1).cast("long"))
+        counts[k * SALTS + salt] = n
+    firsts = np.arange(kinds) * SALTS
+    demand = np.add.reduceat(counts, firsts)
+    segments = _segments(column_generation(demand, size // QUANTUM)) if counts.any() else np.zeros((0, 3), np.int64)
+    before = np.cumsum(counts) - counts
+    offsets = before - np.repeat(before[firsts], np.diff(np.append(firsts, len(counts))))
+    order = W.partitionBy("kind", "salt").orderBy("id", "start", "ids_crc32", "length", "doc_tokens")
+    ranked = rows.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
     placed = ranked.mapInArrow(partial(_assign, segments=segments, offsets=offsets), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long")
-    before = W.partitionBy("sequence_id").orderBy(F.desc("length"), "id", "start").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
+    earlier = W.partitionBy("sequence_id").orderBy(F.desc("length"), "id", "start", "ids_crc32", "doc_tokens").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0).cast("long")))
     return placed.withColumnRenamed("id", id_col)
