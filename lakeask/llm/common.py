@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -45,6 +48,46 @@ def sample_by_hash(df: DataFrame, key: Column, bound: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * bound / total))
 
 
+def sorted_runs(batches: Iterator[pa.RecordBatch], key: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal key from a partition sorted by it. A table has about `rows` rows, more only where one
+    run does, so that memory doesn't follow the size of the partition."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+        if sum(map(len, held)) < rows:
+            continue
+        table = pa.concat_tables(held).combine_chunks()
+        same = np.ones(len(table), bool)
+        for name in key:
+            values = table.column(name).to_numpy()
+            same &= values == values[-1]
+        whole = len(table) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if whole:
+            yield table.slice(0, whole)
+        held = [table.slice(whole)]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, sizes: DataFrame, key: list[str], member: str, least: int = 10_000) -> DataFrame:
+    """Inner join of rows with the one row of their group; sizes, a written table, has each group's number of rows as `copies`.
+
+    A group of more than a thousandth of all rows (and `least`) is cut into parts no larger by a hash of `member`, and its
+    row is repeated for each, so that a group of copies makes no hot task. Fewer than a thousand groups can be so large,
+    which bounds what is broadcast.
+    """
+    total = sizes.agg(F.sum("copies")).first()[0] or 0
+    part = max(total // 1000, least)
+    hot = sizes.filter(F.col("copies") > part).select(*key, F.ceil(F.col("copies") / part).cast("int").alias("parts"))
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    cut = F.coalesce("parts", F.lit(1))
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("part", F.pmod(F.xxhash64(member), cut).cast("int")).drop("parts")
+    groups = groups.join(F.broadcast(hot), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), cut - 1))).drop("parts")
+    return rows.join(groups, [*key, "part"]).drop("part")
+
+
 def tile_hot_keys(rows: DataFrame, key: str, member: Column, tile_rows: int) -> DataFrame:
     """Split keys with more than tile_rows rows into pairs of tiles.
 

@@ -10,9 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage, tile_hot_keys
+from .common import join_groups, sorted_runs, stage, tile_hot_keys
 from .components import connected_components, forest
 
+#: Rows that a task compares at a time, buckets being kept whole.
+HELD_ROWS = 1 << 15
+_RUN = ["key", "tile_a", "tile_b"]
+
 
 def table_plan(rows: int, threshold: float, miss: float = 1e-3) -> tuple[int, int]:
     """Bits of a table and number of tables: buckets stay small as rows grow, and a link at the threshold is missed with at
@@ -67,10 +71,11 @@ def _deal(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Exact cosines within each bucket: links as stars (v not null) and the number of partners first met here (v null)."""
-    held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not held:
-        return
-    rows = pa.concat_tables(held).combine_chunks()
+    for rows in sorted_runs(batches, _RUN, HELD_ROWS):
+        yield from _bucket_links(rows, threshold)
+
+
+def _bucket_links(rows: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     key, node, copies, t, tile, a, b = (rows.column(k).to_numpy() for k in ("key", "node", "copies", "t", "tile", "tile_a", "tile_b"))
     order = np.lexsort((node, b, a, key))
     cut = np.flatnonzero(np.r_[True, (np.diff(key[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0), True])
@@ -124,13 +129,13 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     bits, tables = table_plan(groups.count(), threshold, miss)
     dealt = groups.mapInArrow(partial(_deal, bits=bits, tables=tables), "node long, label long, copies long, vec binary, t int, code long, size int, codes binary")
     dealt = dealt.withColumn("key", F.xxhash64("label", "size", "t", "code")).drop("label", "code", "size")
-    dealt = tile_hot_keys(dealt, "key", F.col("node"), tile_rows).repartition("key", "tile_a", "tile_b")
+    dealt = tile_hot_keys(dealt, "key", F.col("node"), tile_rows).repartition(*_RUN).sortWithinPartitions(*_RUN)
     found = stage(dealt.mapInArrow(partial(_verify, threshold=threshold), "u long, v long, n long"), "links")
     number = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.filter("v is not null").select("u", "v"), contracted=True)
     parts = groups.join(number, "node", "left").join(roots, "node", "left")
     parts = parts.select("label", "vec", F.coalesce("root", "node").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = rows.filter(good).join(parts, ["label", "vec"]).select("id", "n_links", "component_id")
+    linked = join_groups(rows.filter(good), parts, groups, ["label", "vec"], "id").select("id", "n_links", "component_id")
     alone = rows.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     both = linked.union(alone)
     return both.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -11,11 +11,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, stage, tile_hot_keys
+from .common import bounded_batches, join_groups, sorted_runs, stage, tile_hot_keys
 from .components import connected_components, forest
 
 #: Runs up to this length are compared by offset, longer ones by growing clusters.
 SHORT_RUN = 48
+#: Rows that a task compares at a time, runs being kept whole.
+HELD_ROWS = 1 << 18
+_RUN = ["key", "tile_a", "tile_b"]
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -85,11 +88,14 @@ def _grow(prints: np.ndarray, table: np.ndarray, tile: np.ndarray, cross: bool,
 
 
 def _verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Links within the runs of equal (key, tile_a, tile_b) of one partition, as stars."""
-    held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not held:
-        return
-    rows = pa.concat_tables(held).combine_chunks()
+    """Links within the runs of equal (key, tile_a, tile_b) of one sorted partition, as stars."""
+    for rows in sorted_runs(batches, _RUN, HELD_ROWS):
+        u, v = _run_links(rows, distance)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _run_links(rows: pa.Table, distance: int) -> tuple[np.ndarray, np.ndarray]:
     key, fp, node, tile, a, b = (rows.column(k).to_numpy() for k in ("key", "fp", "node", "tile", "tile_a", "tile_b"))
     order = np.lexsort((fp, b, a, key))
     key, fp, node, tile, a, b = (x[order] for x in (key, fp.view(np.uint64), node, tile, a, b))
@@ -112,9 +118,8 @@ def _verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
         found = np.array(_grow(fp[s], table[s], tile[s], a[s][0] != b[s][0], distance), np.int64).reshape(-1, 2)
         us.append(node[s][found[:, 0]])
         vs.append(node[s][found[:, 1]])
-    if us and sum(map(len, us)):
-        u, v = forest(np.concatenate(us), np.concatenate(vs))
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    none = [np.zeros(0, np.int64)]
+    return forest(np.concatenate(us or none), np.concatenate(vs or none))
 
 
 def block_masks(rows: int, distance: int) -> list[int]:
@@ -131,13 +136,17 @@ def block_masks(rows: int, distance: int) -> list[int]:
     return [sum(c) - (1 << 64 if sum(c) >> 63 else 0) for c in itertools.combinations(blocks, m)]
 
 
-def fingerprint_components(prints: DataFrame, distance: int = 4, tile_rows: int = 20_000) -> DataFrame:
-    """(fp, component) for the distinct fingerprints of `prints` (id, fp), linked at `distance` or fewer differing bits."""
-    reps = stage(prints.groupBy("fp").agg(F.min("id").alias("node")), "reps")
+def representatives(prints: DataFrame) -> DataFrame:
+    """(fp, node, copies), written, for the distinct fingerprints of `prints` (id, fp): smallest id and number of rows."""
+    return stage(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "reps")
+
+
+def fingerprint_components(reps: DataFrame, distance: int = 4, tile_rows: int = 20_000) -> DataFrame:
+    """(fp, component) for the fingerprints of `reps`, linked at `distance` or fewer differing bits."""
     masks = block_masks(reps.count(), distance)
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])
     keyed = reps.filter("node is not null").select("fp", "node", F.explode(keys).alias("key"))
-    dealt = tile_hot_keys(keyed, "key", F.col("fp"), tile_rows).repartition("key", "tile_a", "tile_b")
+    dealt = tile_hot_keys(keyed, "key", F.col("fp"), tile_rows).repartition(*_RUN).sortWithinPartitions(*_RUN)
     edges = dealt.mapInArrow(partial(_verify, distance=distance), "u long, v long")
     roots = connected_components(edges, contracted=True)
     return reps.join(roots, reps["node"] == roots["node"], "left").select("fp", F.coalesce("root", reps["node"]).alias("component"))
@@ -155,5 +164,5 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bounded_batches(docs.sparkSession)
     prints = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = stage(prints.mapInArrow(partial(_fingerprints, words=words), "id long, fp long"), "prints")
-    parts = fingerprint_components(prints, distance)
-    return prints.join(parts, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    reps = representatives(prints)
+    return join_groups(prints, fingerprint_components(reps, distance), reps, ["fp"], "id").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

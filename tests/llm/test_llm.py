@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lakeask.llm import bpe, components, embeddings, exact_dedup, language, packing, quality, secrets, sharding, simhash, token_counts, vocabulary
+from lakeask.llm import bpe, common, components, embeddings, exact_dedup, language, packing, quality, secrets, sharding, simhash, token_counts, vocabulary
 from lakeask.llm.queries import QUERIES
 
 KEY = "AKIA" + "ABCDEFGH" * 2
@@ -118,10 +119,33 @@ def test_fingerprint_links_of_clusters(spark, tile_rows):
     signed = {p: int(np.uint64(p).view(np.int64)) for p in distinct}
     ids = {p: k for k, p in enumerate(distinct)}
     frame = spark.createDataFrame([(ids[p], signed[p]) for p in distinct], "id long, fp long")
-    got = {r["fp"]: r["component"] for r in simhash.fingerprint_components(frame, 4, tile_rows).collect()}
+    got = {r["fp"]: r["component"] for r in simhash.fingerprint_components(simhash.representatives(frame), 4, tile_rows).collect()}
     assert got == {signed[p]: ids[roots[p]] for p in distinct}
 
 
+def test_sorted_runs_keep_runs_whole():
+    rng = np.random.default_rng(9)
+    a, b = np.sort(rng.integers(0, 9, 500)), np.zeros(500, np.int64)
+    b[a % 2 == 1] = np.arange((a % 2 == 1).sum()) // 7
+    whole = pa.table({"a": a, "b": b, "n": np.arange(500)})
+    for rows in (1, 20, 90, 1000):
+        got = list(common.sorted_runs(iter(whole.to_batches(max_chunksize=13)), ["a", "b"], rows))
+        assert pa.concat_tables(got).equals(whole)
+        runs = [set(zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)) for t in got]
+        assert all(x.isdisjoint(y) for k, x in enumerate(runs) for y in runs[k + 1 :])
+    assert not list(common.sorted_runs(iter([]), ["a"], 5))
+
+
+@pytest.mark.parametrize("least", [5, 10_000])
+def test_join_groups_cuts_hot_groups(spark, least):
+    rows = [(n, 1 if n % 3 == 0 else n) for n in range(90)] + [(None, 1)] * 3
+    frame = spark.createDataFrame(rows, "id long, k long")
+    sizes = frame.groupBy("k").agg(F.count("*").alias("copies"))
+    found = common.join_groups(frame, sizes.select("k", (F.col("k") * 2).alias("v")), sizes, ["k"], "id", least)
+    assert found.columns == ["k", "id", "v"]
+    assert Counter((r["id"], r["k"], r["v"]) for r in found.collect()) == Counter((i, k, 2 * k) for i, k in rows)
+
+
 @pytest.mark.parametrize("rows", [10, 10**4, 10**6, 10**9, 10**12])
 def test_block_masks_lose_no_pair(rows):
     masks = [m % (1 << 64) for m in simhash.block_masks(rows, 4)]
@@ -197,6 +221,14 @@ def test_bpe(which, request):
     assert Counter((r["doc_id"], bytes(r["decoded"]).decode()) for r in full) == Counter((i, t or "") for i, t in rows_of(frame))
 
 
+def test_bpe_chunks_of_copies_differ(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["", "one text of all"] * 20)], ["id", "text"])
+    keys = [c.key() for c in bpe._chunks(iter([batch]))]
+    assert len(keys) > 10 and len(set(keys)) == len(keys)
+    assert keys == [c.key() for c in bpe._chunks(iter([batch]))]
+
+
 def test_pretokens_equal_the_pattern():
     import public_tokenizers
     import regex
