@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import stage
 
 #: Virtual nodes of a shard, and groups that the rows of an arc are dealt to so that a repeated key has no single task.
-VIRTUAL_NODES, SALTS = 64, 8
+VIRTUAL_NODES, SALTS = 64, 64
 
 
 def ring(shards: int, virtual: int = VIRTUAL_NODES) -> tuple[np.ndarray, np.ndarray]:
