@@ -27,8 +27,11 @@ _letters = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _letters(text.lower()) if text else []
+    """Runs of letters, lower-cased. Runs of other numerals alone, such as superscripts, are none."""
+    if not text:
+        return []
+    words = _letters(text.lower())
+    return words if text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def _grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
