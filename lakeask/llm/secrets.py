@@ -96,9 +96,17 @@ def span_text(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, marker: str = "[SECRET]") -> Column:
     """The text with every stretch that spans cover replaced by the marker; overlapping spans become one."""
-    first = F.filter(spans, lambda s: ~F.exists(spans, lambda o: (o["start"] < s["start"]) & (o["end"] >= s["start"])))
-    merged = F.transform(first, lambda s: F.struct(s["start"].alias("start"), F.aggregate(spans, s["end"], lambda e, o: F.when((o["start"] <= e) & (o["start"] >= s["start"]), F.greatest(e, o["end"])).otherwise(e)).alias("end")))
-    merged = F.array_distinct(merged)
+    none = F.expr("array()").cast("array<struct<start:bigint,end:bigint>>")
+    empty = F.struct(none.alias("done"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+
+    def closed(a: Column) -> Column:
+        return F.when(a["end"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end")))))
+
+    def add(a: Column, s: Column) -> Column:  # spans come by start: one either reaches into the open stretch or closes it
+        longer = F.struct(a["done"].alias("done"), a["start"].alias("start"), F.greatest(a["end"], s["end"]).alias("end"))
+        return F.when(s["start"] <= a["end"], longer).otherwise(F.struct(closed(a).alias("done"), s["start"].alias("start"), s["end"].alias("end")))
+
+    merged = F.aggregate(spans, empty, add, closed)
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(merged, lambda s: s["end"]))
     starts = F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.length(text).cast("long")))
     pieces = F.zip_with(ends, starts, lambda e, s: F.substring(text, (e + 1).cast("int"), (s - e).cast("int")))
