@@ -10,8 +10,9 @@ from .common import stage
 #: which lets more single rows through to the exact step but never loses a repeated one.
 BROADCAST_WORDS = 1 << 20
 
-#: Parts that each group of copies is dealt to when its rows get their verdict.
-SALTS = 32
+#: A group of copies is hot with more rows than this and than a thousandth of all repeated rows. Fewer than a thousand groups
+#: can be hot, which bounds what is broadcast.
+HOT_ROWS = 1_000
 
 
 def _bits(h: Column) -> Column:
@@ -38,7 +39,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """All rows of docs as struct `row`, with keep_id, group_size, kept and text_sha256.
 
     Null texts equal empty ones. Of equal texts the row with the largest id stays; null ids rank below all others; rows
-    that repeat both id and text share their verdict. Rows whose hash the filters prove single are never shuffled.
+    that repeat both id and text share their verdict. Rows whose hash the filters prove single are never shuffled,
+    nor are rows of hot groups, whose verdicts are broadcast, so that no task gets more than a bounded group.
     Other columns travel inside `row`, so their names can't clash. An empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -54,10 +56,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table = seen.groupBy(F.col("word").bitwiseAND(F.lit(size - 1)).alias("word")).agg(F.bit_or("mask").alias("mask"))
     rows = rows.withColumns({"word": F.col("h").bitwiseAND(F.lit(size - 1)), "bits": _bits(F.col("h"))})
     flagged = rows.join(F.broadcast(table), "word", "left").withColumn("maybe", F.coalesce(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False)))
-    single = flagged.filter(~F.col("maybe")).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    maybe = flagged.filter("maybe").select("row", "id", "text_sha256")
-    groups = maybe.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    maybe = maybe.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    again = maybe.join(salted, ["text_sha256", "salt"]).select("row", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return single.union(again)
+    groups = flagged.filter("maybe").groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = stage(groups, "copies")
+    repeated = groups.agg(F.sum("group_size")).first()[0] or 0
+    hot = groups.filter(F.col("group_size") > max(repeated // 1000, HOT_ROWS)).withColumnRenamed("keep_id", "hot_id").withColumnRenamed("group_size", "hot_size")
+    known = flagged.join(F.broadcast(hot), "text_sha256", "left")
+    kept = F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")
+    settled = known.filter(~F.col("maybe") | F.col("hot_size").isNotNull())
+    settled = settled.withColumns({"keep_id": F.when(F.col("hot_size").isNull(), F.col("id")).otherwise(F.col("hot_id")), "group_size": F.coalesce("hot_size", F.lit(1).cast("long"))})
+    settled = settled.select("row", "keep_id", "group_size", kept, "text_sha256")
+    again = known.filter(F.col("maybe") & F.col("hot_size").isNull()).select("row", "id", "text_sha256")
+    return settled.union(again.join(groups, "text_sha256").select("row", "keep_id", "group_size", kept, "text_sha256"))
