@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
 from .common import join_groups, sorted_runs, stage, tile_hot_keys
 from .components import connected_components, forest
@@ -26,21 +27,36 @@ def table_plan(rows: int, threshold: float, miss: float = 1e-3) -> tuple[int, in
     return bits, math.ceil(math.log(miss) / math.log1p(-same))
 
 
-def _codes(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    planes = np.random.default_rng(20240607 + vectors.shape[1]).standard_normal((vectors.shape[1], bits * tables))
-    signs = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
-    return (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2).astype(np.uint32)
+@lru_cache(maxsize=4)
+def _planes(size: int, bits: int, tables: int) -> np.ndarray:
+    """Normals of the hyperplanes in whole numbers."""
+    return np.rint(np.random.default_rng(20240607 + size).standard_normal((size, bits * tables)) * (1 << 16))
 
 
-def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Rows by vector length: (row numbers, float64 matrix) of packed float64 vectors."""
-    raw = [np.frombuffer(x.as_py(), np.float64) for x in column]
+def _codes(vectors: np.ndarray, bits: int, tables: int, first: int | None = None) -> np.ndarray:
+    """Codes of the vectors in the first tables (default all). Vectors are scaled to whole numbers, so that products are
+    exact and a vector has the same code in every task."""
+    first = tables if first is None else first
+    planes = _planes(vectors.shape[1], bits, tables)[:, : bits * first]
+    scaled = np.rint(vectors / np.abs(vectors).max(axis=1, keepdims=True) * (1 << 20))
+    out = np.zeros((len(vectors), first), np.uint32)
+    step = max(1, (1 << 21) // max(bits * first, 1))
+    for at in range(0, len(vectors), step):
+        part = scaled[at : at + step]
+        signs = (part @ planes > 0).reshape(len(part), first, bits)
+        out[at : at + step] = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+    return out
+
+
+def _matrix(column: pa.Array, kind: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows by vector length: (row numbers, float64 matrix) of vectors packed as numbers of that kind."""
+    raw = [np.frombuffer(x.as_py(), kind).astype(np.float64) for x in column]
     sizes = np.array([len(x) for x in raw])
     return {int(n): (at := np.flatnonzero(sizes == n), np.stack([raw[i] for i in at])) for n in np.unique(sizes)}
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as bytes of float64; null where the vector is null, empty, zero, or holds null or non-finite components."""
+def _pack(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes of the column's own kind of numbers; null where the vector is null, empty, zero, or holds null or non-finite components."""
     for batch in batches:
         out = []
         for x in batch.column(2):
@@ -49,54 +65,55 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if values and None not in values:
                 v = np.array(values, np.float64)
                 v = v + 0.0 if np.isfinite(v).all() and 0 < (v @ v) < np.inf else None
-            out.append(None if v is None else v.tobytes())
+            out.append(None if v is None else v.astype(kind).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "label", "vec"])
 
 
-def _deal(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and table, with the table's code and all codes of the vector."""
+def _deal(batches: Iterator[pa.RecordBatch], bits: int, tables: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """A row for each vector and table, with the table's code."""
     for whole in batches:
         for start in range(0, whole.num_rows, 1000):
             batch = whole.slice(start, 1000)
-            for size, (at, m) in _matrix(batch.column("vec")).items():
+            for size, (at, m) in _matrix(batch.column("vec"), kind).items():
                 codes = _codes(m, bits, tables)
                 part = batch.take(pa.array(at))
-                all_codes = pa.array([c.tobytes() for c in codes], pa.binary())
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("node"), part.column("label"), part.column("copies"), part.column("vec"), pa.array(np.full(len(at), t, np.int32)), pa.array(codes[:, t].astype(np.int64)), pa.array(np.full(len(at), size, np.int32)), all_codes],
-                        ["node", "label", "copies", "vec", "t", "code", "size", "codes"],
+                        [part.column("node"), part.column("label"), part.column("copies"), part.column("vec"), pa.array(np.full(len(at), t, np.int32)), pa.array(codes[:, t].astype(np.int64)), pa.array(np.full(len(at), size, np.int32))],
+                        ["node", "label", "copies", "vec", "t", "code", "size"],
                     )
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, tables: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Exact cosines within each bucket: links as stars (v not null) and the number of partners first met here (v null)."""
     for rows in sorted_runs(batches, _RUN, HELD_ROWS):
-        yield from _bucket_links(rows, threshold)
+        yield from _bucket_links(rows, threshold, bits, tables, kind)
 
 
-def _bucket_links(rows: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+def _bucket_links(rows: pa.Table, threshold: float, bits: int, tables: int, kind: str) -> Iterator[pa.RecordBatch]:
     key, node, copies, t, tile, a, b = (rows.column(k).to_numpy() for k in ("key", "node", "copies", "t", "tile", "tile_a", "tile_b"))
     order = np.lexsort((node, b, a, key))
     cut = np.flatnonzero(np.r_[True, (np.diff(key[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0), True])
-    vec, codes = rows.column("vec").combine_chunks(), rows.column("codes").combine_chunks()
+    vec = rows.column("vec").combine_chunks()
     us, vs, ids, counts = [], [], [], []
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         at = order[lo:hi]
         if len(at) < 2:
             continue
-        m = np.stack([np.frombuffer(vec[int(x)].as_py(), np.float64) for x in at])
-        m /= np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
-        c = np.stack([np.frombuffer(codes[int(x)].as_py(), np.uint32) for x in at])
+        m = np.stack([np.frombuffer(vec[int(x)].as_py(), kind).astype(np.float64) for x in at])
+        plain, here, c = m, int(t[at[0]]), None
+        m = m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
         cross, number = a[at[0]] != b[at[0]], np.zeros(len(at), np.int64)
         for s in range(0, len(at), 1024):
             i, j = np.nonzero(m[s : s + 1024] @ m[s:].T >= threshold)
             i, j = i + s, j + s
             keep = (i < j) & ((tile[at[i]] != tile[at[j]]) if cross else True)
             i, j = i[keep], j[keep]
-            for x in range(0, len(i), 100_000):  # count a pair in the first table where its codes agree
+            if len(i) and c is None:
+                c = _codes(plain, bits, tables, here)
+            for x in range(0, len(i), 100_000):  # count a pair in the first table where its codes agree: here they do
                 ii, jj = i[x : x + 100_000], j[x : x + 100_000]
-                first = (c[ii] == c[jj]).argmax(axis=1) == t[at[0]]
+                first = ~(c[ii] == c[jj]).any(axis=1)
                 ii, jj = ii[first], jj[first]
                 np.add.at(number, ii, copies[at[jj]])
                 np.add.at(number, jj, copies[at[ii]])
@@ -122,15 +139,16 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     counts every other row linked directly. Pairs at the threshold are missed with at most probability `miss`. Links
     found in several tables count once. Rows that repeat an id count one by one; null ids form no link.
     """
+    kind = "<f4" if isinstance(vectors.select(vector_col).schema[0].dataType.elementType, FloatType) else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = stage(rows.mapInArrow(_pack, "id long, label long, vec binary"), "vectors")
+    rows = stage(rows.mapInArrow(partial(_pack, kind=kind), "id long, label long, vec binary"), "vectors")
     good = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull()
     groups = stage(rows.filter(good).groupBy("label", "vec").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "groups")
     bits, tables = table_plan(groups.count(), threshold, miss)
-    dealt = groups.mapInArrow(partial(_deal, bits=bits, tables=tables), "node long, label long, copies long, vec binary, t int, code long, size int, codes binary")
+    dealt = groups.mapInArrow(partial(_deal, bits=bits, tables=tables, kind=kind), "node long, label long, copies long, vec binary, t int, code long, size int")
     dealt = dealt.withColumn("key", F.xxhash64("label", "size", "t", "code")).drop("label", "code", "size")
     dealt = tile_hot_keys(dealt, "key", F.col("node"), tile_rows).repartition(*_RUN).sortWithinPartitions(*_RUN)
-    found = stage(dealt.mapInArrow(partial(_verify, threshold=threshold), "u long, v long, n long"), "links")
+    found = stage(dealt.mapInArrow(partial(_verify, threshold=threshold, bits=bits, tables=tables, kind=kind), "u long, v long, n long"), "links")
     number = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.filter("v is not null").select("u", "v"), contracted=True)
     parts = groups.join(number, "node", "left").join(roots, "node", "left")

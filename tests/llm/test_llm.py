@@ -83,6 +83,33 @@ def test_exact_dedup_folds_large_filters(docs, monkeypatch):
     assert Counter(map(tuple, exact_dedup.exact_dedup(docs).select("row.doc_id", "keep_id", "kept").collect())) == want
 
 
+def test_exact_dedup_hot_groups(docs, monkeypatch):
+    """Verdicts of hot groups come by broadcast and are the same as those that come by a shuffle."""
+    copies = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 100_000))
+    columns = ["row.doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    want = Counter(map(tuple, exact_dedup.exact_dedup(copies).select(*columns).collect()))
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 2)
+    assert Counter(map(tuple, exact_dedup.exact_dedup(copies).select(*columns).collect())) == want
+
+
+def test_codes_do_not_depend_on_the_batch():
+    vectors = np.random.default_rng(5).standard_normal((3000, 64)).astype(np.float32).astype(np.float64)
+    whole = embeddings._codes(vectors, 13, 30)
+    assert (embeddings._codes(vectors[7:9], 13, 30) == whole[7:9]).all()
+    assert (embeddings._codes(vectors[::7], 13, 30, 11) == whole[::7, :11]).all()
+    assert embeddings._codes(vectors[:5], 13, 30, 0).shape == (5, 0)
+
+
+def test_numerals_are_no_letters():
+    assert language.words_of("\u00b2 12 \u00bd _ \u2460") == [] and language.words_of("m\u00b2 Ab") == ["m\u00b2", "ab"]
+
+
+def test_redact_merges_overlaps(spark):
+    spans = "array(named_struct('start', 1L, 'kind', 0, 'end', 6L), named_struct('start', 2L, 'kind', 2, 'end', 4L), named_struct('start', 6L, 'kind', 3, 'end', 7L), named_struct('start', 9L, 'kind', 0, 'end', 10L))"
+    row = spark.range(1).select(F.lit("0123456789").alias("t"), F.expr(spans).alias("s"))
+    assert row.select(secrets.redact(F.col("t"), F.col("s"))).first()[0] == "0[SECRET]78[SECRET]"
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
