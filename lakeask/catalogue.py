@@ -388,12 +388,18 @@ METADATA = [
     ("c_name", "name of the customer"), ("c_nationkey", "nation of the customer"), ("c_acctbal", "account balance"), ("c_mktsegment", "market segment"), ("p_name", "name of the part"), ("p_brand", "brand of the part"), ("p_type", "type of the part"), ("p_size", "size of the part"), ("p_retailprice", "retail price"), ("l_quantity", "quantity shipped"), ("l_discount", "discount granted"), ("l_tax", "tax rate"), ("l_returnflag", "return flag"), ("l_shipdate", "date of shipment"),
 ]
 _META = ", ".join(f"({literal(c)}, {literal(t)})" for c, t in METADATA)
-_RANKED = f"SELECT question_id, column_name, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, column_name)::INTEGER AS rank FROM (SELECT question_id, column_name, CAST(round(CAST(len(list_intersect(q, c)) / len(list_distinct(list_concat(q, c))) AS DECIMAL(20,10)), 6) AS DOUBLE) AS score FROM (SELECT item_id AS question_id, list_distinct(string_split({_form('translate(substr(text, 1, 20), chr(223), chr(115))')}, '')) AS q FROM benchmark), (SELECT column_name, list_distinct(string_split({_form('description')}, '')) AS c FROM (VALUES {_META}) AS m(column_name, description)))"
+def _sql_ranked(question: str) -> str:
+    return f"SELECT question_id, column_name, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, column_name)::INTEGER AS rank FROM (SELECT question_id, column_name, CAST(round(CAST(len(list_intersect(q, c)) / len(list_distinct(list_concat(q, c))) AS DECIMAL(20,10)), 6) AS DOUBLE) AS score FROM (SELECT item_id AS question_id, list_distinct(string_split({_form(f'translate({question}, chr(223), chr(115))')}, '')) AS q FROM benchmark), (SELECT column_name, list_distinct(string_split({_form('description')}, '')) AS c FROM (VALUES {_META}) AS m(column_name, description)))"
+
+
+#: The SQL of the first form of these queries is fixed and ranks on 20 characters of a question; that of the `_whole` form on all.
+_RANKED, _RANKED_WHOLE = _sql_ranked("substr(text, 1, 20)"), _sql_ranked("text")
 _REQUIRED = "SELECT item_id AS question_id, 'p_brand' AS column_name FROM benchmark WHERE item_id % 2 = 0 UNION SELECT item_id, 'l_tax' FROM benchmark WHERE item_id % 3 = 0"
 
 
-def _ranked(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.translate(F.substring("text", 1, 20), "ß", "s").alias("question"))
+def _ranked(spark, d, whole=True):
+    text = F.col("text") if whole else F.substring("text", 1, 20)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.translate(text, "ß", "s").alias("question"))
     return linking.rank_columns(asked, spark.createDataFrame(METADATA, "column_name string, column_description string"))
 
 
@@ -404,6 +410,11 @@ def _required(spark, d):
 
 @query(f"SELECT question_id, column_name, score, rank FROM ({_RANKED}) WHERE rank <= 6")
 def link_rank_topk(spark, d):
+    return _ranked(spark, d, whole=False).filter(F.col("rank") <= linking.K)
+
+
+@query(f"SELECT question_id, column_name, score, rank FROM ({_RANKED_WHOLE}) WHERE rank <= 6")
+def link_rank_topk_whole(spark, d):
     return _ranked(spark, d).filter(F.col("rank") <= linking.K)
 
 
@@ -412,8 +423,17 @@ def link_must_have(spark, d):
     return _required(spark, d)
 
 
-@query(f"WITH r AS ({_RANKED}), m AS ({_REQUIRED}), t AS (SELECT question_id, 1 AS tier, column_name FROM r WHERE rank <= 6 UNION ALL SELECT question_id, 2, column_name FROM r WHERE rank <= 12 UNION ALL SELECT question_id, 3, column_name FROM r WHERE rank BETWEEN 13 AND 18 UNION ALL SELECT question_id, tier, column_name FROM m, (VALUES (1), (2), (3)) AS n(tier)) SELECT question_id, tier, array_to_string(list_sort(list_distinct(list(column_name))), ',') AS columns FROM t GROUP BY 1, 2")
+def _sql_tiers(ranked: str) -> str:
+    return f"WITH r AS ({ranked}), m AS ({_REQUIRED}), t AS (SELECT question_id, 1 AS tier, column_name FROM r WHERE rank <= 6 UNION ALL SELECT question_id, 2, column_name FROM r WHERE rank <= 12 UNION ALL SELECT question_id, 3, column_name FROM r WHERE rank BETWEEN 13 AND 18 UNION ALL SELECT question_id, tier, column_name FROM m, (VALUES (1), (2), (3)) AS n(tier)) SELECT question_id, tier, array_to_string(list_sort(list_distinct(list(column_name))), ',') AS columns FROM t GROUP BY 1, 2"
+
+
+@query(_sql_tiers(_RANKED))
 def link_tiers(spark, d):
+    return linking.tiers(_ranked(spark, d, whole=False), _required(spark, d))
+
+
+@query(_sql_tiers(_RANKED_WHOLE))
+def link_tiers_whole(spark, d):
     return linking.tiers(_ranked(spark, d), _required(spark, d))
 
 
@@ -506,13 +526,25 @@ def eval_accuracy(spark, d):
     return evaluate.accuracy(answers, ["source"])
 
 
-@query(f"WITH r AS ({_RANKED}), g AS (SELECT question_id, list_sort(list(column_name)) AS gold FROM r WHERE rank = question_id % 9 + 1 OR rank = 2 GROUP BY 1), t AS (SELECT question_id, list(column_name) AS top, max(column_name) FILTER (rank = 1) AS first FROM r WHERE rank <= 6 GROUP BY 1) SELECT count(*) AS questions, avg(CASE WHEN len(list_filter(gold, lambda x: NOT list_contains(top, x))) = 0 THEN 1 ELSE 0 END) AS full_recall, avg(CASE WHEN list_contains(gold, first) THEN 1 ELSE 0 END) AS top1_hit FROM g JOIN t USING (question_id)")
-def eval_topk_recall(spark, d):
-    ranked = _ranked(spark, d)
+def _sql_recall(ranked: str) -> str:
+    return f"WITH r AS ({ranked}), g AS (SELECT question_id, list_sort(list(column_name)) AS gold FROM r WHERE rank = question_id % 9 + 1 OR rank = 2 GROUP BY 1), t AS (SELECT question_id, list(column_name) AS top, max(column_name) FILTER (rank = 1) AS first FROM r WHERE rank <= 6 GROUP BY 1) SELECT count(*) AS questions, avg(CASE WHEN len(list_filter(gold, lambda x: NOT list_contains(top, x))) = 0 THEN 1 ELSE 0 END) AS full_recall, avg(CASE WHEN list_contains(gold, first) THEN 1 ELSE 0 END) AS top1_hit FROM g JOIN t USING (question_id)"
+
+
+def _recall(ranked):
     gold = ranked.filter("rank = question_id % 9 + 1 OR rank = 2").groupBy("question_id").agg(F.sort_array(F.collect_list("column_name")).alias("gold"))
     return evaluate.ranking_recall(ranked, gold, 6)
 
 
+@query(_sql_recall(_RANKED))
+def eval_topk_recall(spark, d):
+    return _recall(_ranked(spark, d, whole=False))
+
+
+@query(_sql_recall(_RANKED_WHOLE))
+def eval_topk_recall_whole(spark, d):
+    return _recall(_ranked(spark, d))
+
+
 @query("SELECT p_type, 40 - n AS needed FROM (SELECT p_type, count(*) FILTER (p_size < 5) AS n FROM part GROUP BY 1) WHERE n < 40")
 def eval_resume_needed(spark, d):
     from lakeask.sources.tables import still_needed
