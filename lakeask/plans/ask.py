@@ -28,21 +28,35 @@ def plain_text(question: str) -> str:
 
 @dataclass
 class Candidate:
+    """SQL and its result. `rows` are the distinct rows to show, `whole` the figures of all rows; without it, rows are all."""
+
     path: str
     sql: str
     status: str = "new"
     rows: list[tuple] = field(default_factory=list)
     error: str = ""
     repair_times: list[float] = field(default_factory=list)
+    whole: sqlgate.Whole | None = None
 
     @property
     def votable(self) -> bool:
-        return self.status == "success" and any(c is not None and str(c).strip() for row in self.rows for c in row)
+        return self.status == "success" and (self.whole.full_rows > 0 if self.whole else any(map(has_text, self.rows)))
 
     @property
     def fingerprint(self) -> tuple:
         cell = lambda c: "" if c is None else f"{round(float(c), 2):g}" if isinstance(c, (int, float)) and not isinstance(c, bool) else str(c).strip()
-        return tuple(sorted({tuple(map(cell, r)) for r in self.rows}))
+        return self.whole.fingerprint if self.whole else tuple(sorted({tuple(map(cell, r)) for r in self.rows}))
+
+    def answer(self, blanks: bool) -> dict:
+        """Rows to show and the number of all distinct ones, with or without rows of blank cells. If the rows shown are not all,
+        `cut` is there and true, and `result` is the whole result, lazy."""
+        rows = sorted({r for r in self.rows if blanks or has_text(r)}, key=str)
+        count = (self.whole.rows if blanks else self.whole.full_rows) if self.whole else len(rows)
+        return {"execution_result": rows, "unique_rows_count": count, **({"cut": True, "result": self.whole.data} if count > len(rows) else {})}
+
+
+def has_text(row: tuple) -> bool:
+    return any(c is not None and str(c).strip() for c in row)
 
 
 def agreed(candidates: list[Candidate]) -> bool:
@@ -100,8 +114,8 @@ class Engine:
         return ranked, linking.must_have(exact, fuzzy), exact.unionByName(fuzzy)
 
     def try_sql(self, path: str, sql: str) -> Candidate:
-        found = sqlgate.rows(sqlgate.execute(self.spark, sql, {self.name: self.table}))
-        return Candidate(path, sql, "success" if found.ok else "failed", found.fetched or [], f"{found.error}: {found.detail}" if found.error else "")
+        found = sqlgate.whole(sqlgate.execute(self.spark, sql, {self.name: self.table}))
+        return Candidate(path, sql, "success" if found.ok else "failed", found.fetched or [], f"{found.error}: {found.detail}" if found.error else "", whole=found.whole)
 
     def refine(self, question: str, candidate: Candidate, schema: str) -> Candidate:
         """Up to two repairs of an error, or of a literal that its column lacks in a result with rows."""
@@ -152,8 +166,8 @@ class Engine:
             best, reason = choose(found)
             if best is not None and best.status == "success":
                 break
-        rows = sorted({r for r in (best.rows if best else []) if any(c is not None and str(c).strip() for c in r)}, key=str)
-        return {"final_sql": best.sql if best else "", "execution_result": rows, "unique_rows_count": len(rows), "reason": reason, "first_inference_time": first, "repair_times": best.repair_times if best else [], "cost_time": time.time() - began, "token_usage": self.tokens.report()}
+        answer = best.answer(blanks=False) if best else {"execution_result": [], "unique_rows_count": 0}
+        return {"final_sql": best.sql if best else "", **answer, "reason": reason, "first_inference_time": first, "repair_times": best.repair_times if best else [], "cost_time": time.time() - began, "token_usage": self.tokens.report()}
 
     def baseline(self, question: str, pruned: bool = False) -> dict:
         """One generation over the full schema or the first tier; no repair, no vote."""
@@ -165,8 +179,7 @@ class Engine:
             names = [r["column_name"] for r in linking.tier(ranked, required, 1, self.k).collect()]
         sql = extract(self.generator.generate("Direct_Path", question, linking.schema_prompt(self.metadata, names, None, "db", self.name), "", []))
         found = self.try_sql("Direct_Path", sql) if sql else Candidate("Direct_Path", "", "failed")
-        rows = sorted(set(found.rows), key=str)
-        return {"final_sql": found.sql, "execution_result": rows, "unique_rows_count": len(rows), "reason": "baseline", "first_inference_time": time.time() - began, "repair_times": [], "cost_time": time.time() - began, "token_usage": self.tokens.report()}
+        return {"final_sql": found.sql, **found.answer(blanks=True), "reason": "baseline", "first_inference_time": time.time() - began, "repair_times": [], "cost_time": time.time() - began, "token_usage": self.tokens.report()}
 
 
 def extract(reply: str) -> str:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 
+from lakeask.functions.text import strip
 from lakeask.session import dialect_session
 
 # Plan nodes of queries, and functions that reach outside the data.
@@ -19,6 +20,17 @@ QUERY_NODES = frozenset(
 BARRED_FUNCTIONS = frozenset("java_method reflect try_reflect input_file_name assert_true raise_error current_user session_user user current_catalog current_database current_schema version spark_partition_id".split())
 
 
+@dataclass
+class Whole:
+    """Figures of all rows of a result: its distinct rows, those of them with a cell that isn't blank, and a digest of the distinct
+    rows' plain cells, whatever their order."""
+
+    data: DataFrame
+    rows: int
+    full_rows: int
+    fingerprint: tuple
+
+
 @dataclass
 class Outcome:
     """A result or an error as a value: NO_SUCH_COLUMN, SQL_ERROR, REJECTED or UNEXPECTED."""
@@ -28,6 +40,7 @@ class Outcome:
     detail: str = ""
     tables: list[str] = field(default_factory=list)
     fetched: list[tuple] | None = None
+    whole: Whole | None = None
 
     @property
     def ok(self) -> bool:
@@ -157,6 +170,43 @@ def rows(outcome: Outcome, most: int = 10_000) -> Outcome:
     return outcome
 
 
+def plain_cell(c: Column, kind: T.DataType) -> Column:
+    """A cell as votes compare it: numbers to two places in full, without trailing zeros; other cells stripped; null is empty."""
+    text = c.cast("string")
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        value = text.try_cast("decimal(38,18)") if isinstance(kind, T.FloatType) else c
+        fixed = F.round(value, 2) if isinstance(kind, T.DecimalType) else F.round(value, 2).try_cast("decimal(38,2)")
+        fixed = F.regexp_replace(F.regexp_replace(fixed.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        text = F.coalesce(fixed, text)
+    return F.coalesce(strip(text), F.lit(""))
+
+
+def whole(outcome: Outcome, most: int = 10_000) -> Outcome:
+    """Count and digest all rows distributedly, and fetch at most `most` distinct ones to show, those with text first; run-time
+    errors become values. The result is held while it is read, so that all figures are of the same rows."""
+    if outcome.data is None:
+        return outcome
+    kinds = [f.dataType for f in outcome.data.schema]
+    names = [f"c{k}" for k in range(len(kinds))]
+    held = outcome.data.toDF(*names).persist()
+    try:
+        texts = F.array(*[F.col(n).cast("string") for n in names])
+        plain = F.to_json(F.array(*[plain_cell(F.col(n), k) for n, k in zip(names, kinds, strict=True)]))
+        full = F.exists(texts, lambda x: F.coalesce(strip(x) != "", F.lit(False)))
+        rows_ = held.select(F.struct(*names).alias("row"), F.to_json(texts, {"ignoreNullFields": "false"}).alias("text"), full.alias("full"), plain.alias("plain"))
+        distinct = rows_.groupBy("text").agg(F.any_value("row").alias("row"), F.any_value("full").alias("full"))
+        count, full_count = distinct.agg(F.count("*"), F.count_if("full")).first()
+        half = lambda at: F.sum(F.conv(F.substring(F.md5("plain"), at, 16), 16, 10).cast("decimal(38,0)"))
+        digest = rows_.select("plain").distinct().agg(F.count("*"), half(1), half(17)).first()
+        outcome.whole = Whole(outcome.data, count, full_count, tuple(digest))
+        outcome.fetched = [tuple(r["row"]) for r in distinct.orderBy(F.desc("full"), "text").limit(most).collect()]
+    except PySparkException as error:
+        return Outcome(error="SQL_ERROR", detail=str(error).splitlines()[0][:300])
+    finally:
+        held.unpersist()
+    return outcome
+
+
 def where_literals(spark: SparkSession, sql: str) -> list[tuple[str, str]]:
     """(column, text) of every equality and membership test of a query with a text literal, from its parsed plan."""
     try:
@@ -184,4 +234,4 @@ def missing_literals(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[
     return [p for k, p in enumerate(known) if not hit[k]]
 
 
-__all__ = ["Outcome", "dialect_session", "execute", "first_select", "inspect", "missing_literals", "rewrite_dialect", "rows", "split_statements", "where_literals"]
+__all__ = ["Outcome", "dialect_session", "execute", "first_select", "inspect", "missing_literals", "rewrite_dialect", "rows", "split_statements", "where_literals", "whole"]

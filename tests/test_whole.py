@@ -2,7 +2,11 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from lakeask.catalogue import METADATA, QUERIES
+from lakeask.plans import ask, models
 
 
 def ranked_in_python(spark, sf):
@@ -24,3 +28,30 @@ def test_columns_are_ranked_on_whole_questions(spark, sf):
     assert got == {q: c[:6] for q, c in want.items()}
     made = QUERIES["negatives_hard_easy"](spark, sf).select("sample_id", "column_name").collect()
     assert made and not [r for r in made if r["column_name"] in want[r["sample_id"]][:2]]
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    table = spark.range(10_050).select("id", F.lit(1234567).alias("n")).cache()
+    meta = spark.createDataFrame([("id", "key"), ("n", "number")], "column_name string, column_description string")
+    return ask.Engine(spark, table, "big", meta, models.Scripted({"all": "SELECT id FROM big", "no": "SELECT id FROM big WHERE id < 0"}), k=2)
+
+
+def test_votes_see_rows_beyond_those_shown(engine):
+    up, down = (engine.try_sql(p, f"SELECT id FROM big ORDER BY id {p}") for p in ("ASC", "DESC"))
+    assert ask.agreed([up, down])
+    short = engine.try_sql("ICL_Path", "SELECT id FROM big WHERE id < 10020 ORDER BY id")
+    assert short.votable and not ask.agreed([up, short])
+    twice = engine.try_sql("ICL_Path", "SELECT id FROM big UNION ALL SELECT id FROM big")
+    assert ask.agreed([up, twice])
+
+
+def test_whole_results_are_counted_and_cuts_are_marked(engine):
+    for found in (engine.ask("all"), engine.baseline("all")):
+        assert found["unique_rows_count"] == 10_050 and found["cut"] and len(found["execution_result"]) == 10_000
+        assert found["result"].count() == 10_050
+    assert engine.baseline("no")["execution_result"] == [] and "cut" not in engine.baseline("no")
+    odd = engine.try_sql("x", "SELECT * FROM (VALUES (array(1), map('a', 1), NULL, ' '), (array(1), map('a', 1), NULL, '')) AS v(a, m, n, n)")
+    assert odd.status == "success" and odd.whole.rows == 2 and odd.whole.full_rows == 2
+    assert not engine.try_sql("x", "SELECT ' ' AS a, NULL AS b").votable
+    assert engine.try_sql("x", "SELECT 1 / (id - 1) AS a FROM big").error.startswith("SQL_ERROR")
