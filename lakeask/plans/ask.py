@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
 
@@ -26,6 +27,18 @@ def plain_text(question: str) -> str:
     return re.sub(python(INVISIBLE), "", re.sub(python(SPACE) + "+", " ", text)).strip()
 
 
+def plain_cell(c: object) -> str:
+    """sqlgate.plain_cell for one value on the driver."""
+    if c is None or isinstance(c, str):
+        return (c or "").strip()
+    if isinstance(c, bool) or not isinstance(c, (int, float, Decimal)) or not Decimal(str(c)).is_finite():
+        return str(c).strip()
+    with localcontext() as context:
+        context.prec = 400
+        text = f"{Decimal(str(c)).quantize(Decimal('0.01'), ROUND_HALF_UP):f}".rstrip("0").rstrip(".")
+    return "0" if text == "-0" else text
+
+
 @dataclass
 class Candidate:
     """SQL and its result. `rows` are the distinct rows to show, `whole` the figures of all rows; without it, rows are all."""
@@ -44,8 +57,7 @@ class Candidate:
 
     @property
     def fingerprint(self) -> tuple:
-        cell = lambda c: "" if c is None else f"{round(float(c), 2):g}" if isinstance(c, (int, float)) and not isinstance(c, bool) else str(c).strip()
-        return self.whole.fingerprint if self.whole else tuple(sorted({tuple(map(cell, r)) for r in self.rows}))
+        return self.whole.fingerprint if self.whole else tuple(sorted({tuple(map(plain_cell, r)) for r in self.rows}))
 
     def answer(self, blanks: bool) -> dict:
         """Rows to show and the number of all distinct ones, with or without rows of blank cells. If the rows shown are not all,

@@ -1,12 +1,13 @@
 """Queries and results that cover all of their input, against plain Python or SQL that names no column by hand."""
 
 import re
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakeask.catalogue import METADATA, QUERIES
-from lakeask.plans import ask, models
+from lakeask.plans import ask, models, sqlgate
 
 
 def ranked_in_python(spark, sf):
@@ -55,3 +56,21 @@ def test_whole_results_are_counted_and_cuts_are_marked(engine):
     assert odd.status == "success" and odd.whole.rows == 2 and odd.whole.full_rows == 2
     assert not engine.try_sql("x", "SELECT ' ' AS a, NULL AS b").votable
     assert engine.try_sql("x", "SELECT 1 / (id - 1) AS a FROM big").error.startswith("SQL_ERROR")
+
+
+def test_votes_compare_numbers_in_full(engine):
+    made = lambda *cells: ask.Candidate("p", "", "success", [(c,) for c in cells])
+    assert not ask.agreed([made(1234567), made(1234568)]) and not ask.agreed([made(2**53), made(2**53 + 1)])
+    assert ask.agreed([made(1234567), made(1234567.0)]) and ask.agreed([made(0.125), made(Decimal("0.130"))])
+    ran = lambda sql: engine.try_sql("p", f"SELECT {sql} AS v")
+    assert not ask.agreed([ran("1234567"), ran("1234568")]) and not ask.agreed([ran("1234567.25D"), ran("1234567.35D")])
+    assert ask.agreed([ran("1234567"), ran("1234567.001D"), ran("1")])
+
+
+def test_cells_read_alike_on_driver_and_executors(spark):
+    cells = {"double": [1234567.0, 2.5, 100.0, -0.001, 1.005, 1e22, 1e-7, 123456789.126, 0.0], "long": [0, -7, 10**18 + 1], "decimal(20,4)": [Decimal("1.5000"), Decimal("-2.0050"), Decimal("100.0000")], "string": [" x ", "1.50", ""], "boolean": [None]}
+    for kind, values in cells.items():
+        df = spark.createDataFrame([(v,) for v in values], f"c {kind}")
+        got = [r[0] for r in df.select(sqlgate.plain_cell(F.col("c"), df.schema["c"].dataType)).collect()]
+        assert got == [ask.plain_cell(v) for v in values]
+    assert [ask.plain_cell(v) for v in (1234567.0, 2.5, 100, -0.001, 1.005)] == ["1234567", "2.5", "100", "0", "1.01"]
