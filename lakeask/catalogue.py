@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -273,6 +274,28 @@ def profile_all(spark, d):
     return out
 
 
+# The columns of the queries above are fixed by their SQL; the `_whole` forms take every scalar column from the table itself.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def _profiled_whole(spark, d, name):
+    return profile.profile(profile.value_counts(table(spark, d, name)))
+
+
+for _name in ("documents", "lineitem"):
+    query(name=f"profile_{_name}_whole")(lambda spark, d, n=_name: _profiled_whole(spark, d, n))
+
+
+@query()
+def profile_all_whole(spark, d):
+    return reduce(DataFrame.unionByName, [_profiled_whole(spark, d, n).select(F.lit(n).alias("table"), "*") for n in TABLES])
+
+
+@query()
+def profile_numeric_range_whole(spark, d):
+    return _profiled_whole(spark, d, "lineitem").filter("data_type = 'NUMERIC'").select("column", "min_value", "max_value")
+
+
 def _sql_top(name: str) -> str:
     return f'SELECT "column", value, count, rank FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value)::INTEGER AS rank FROM (SELECT "column", value, count(*) AS count FROM ({_sql_long(name)}) WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 10'
 

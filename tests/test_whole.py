@@ -3,9 +3,11 @@
 import re
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lakeask import catalogue
 from lakeask.catalogue import METADATA, QUERIES
 from lakeask.plans import ask, models, sqlgate
 
@@ -74,3 +76,23 @@ def test_cells_read_alike_on_driver_and_executors(spark):
         got = [r[0] for r in df.select(sqlgate.plain_cell(F.col("c"), df.schema["c"].dataType)).collect()]
         assert got == [ask.plain_cell(v) for v in values]
     assert [ask.plain_cell(v) for v in (1234567.0, 2.5, 100, -0.001, 1.005)] == ["1234567", "2.5", "100", "0", "1.01"]
+
+
+def test_profiles_cover_every_scalar_column_of_every_table(spark, sf):
+    from pathlib import Path
+
+    con = duckdb.connect()
+    want = {}
+    for path in Path(sf).glob("*.parquet"):
+        for name, kind, *_ in con.sql(f"DESCRIBE SELECT * FROM '{path}'").fetchall():
+            if not kind.endswith("]"):
+                text = catalogue._sql_text(name, {"DOUBLE": "d", "TIMESTAMP": "t"}.get(kind, "s"))
+                long = f"SELECT '{name}' AS \"column\", nullif({catalogue.sql_strip(text)}, '') AS value FROM '{path}'"
+                row = con.sql(f"SELECT * FROM ({catalogue._sql_profile(long)})")
+                want[path.stem, name] = dict(zip(row.columns, row.fetchall()[0], strict=True))
+    got = {(r["table"], r["column"]): r.asDict() for r in QUERIES["profile_all_whole"](spark, sf).collect()}
+    assert {k: {c: v for c, v in r.items() if c != "table"} for k, r in got.items()} == want and len({t for t, _ in want}) == 14
+    for name in ("documents", "lineitem"):
+        assert {r["column"]: r.asDict() for r in QUERIES[f"profile_{name}_whole"](spark, sf).collect()} == {c: r for (t, c), r in want.items() if t == name}
+    ranges = {tuple(r) for r in QUERIES["profile_numeric_range_whole"](spark, sf).select("column", "min_value", "max_value").collect()}
+    assert ranges == {(c, r["min_value"], r["max_value"]) for (t, c), r in want.items() if t == "lineitem" and r["data_type"] == "NUMERIC"} and len(ranges) == 8
