@@ -48,6 +48,24 @@ def sample_by_hash(df: DataFrame, key: Column, bound: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * bound / total))
 
 
+def sample_each_by_hash(df: DataFrame, group: str, key: list[str], bound: int) -> DataFrame:
+    """At most about `bound` rows, chosen by a hash of `key`, the same ones in every run. The bound is dealt evenly to the values
+    of `group`, a text column without nulls, and what small ones leave goes to the others: a value keeps its rows at every size
+    of the rest."""
+    sizes = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
+    left, share = bound, {}
+    for k, name in enumerate(sorted(sizes, key=sizes.get)):
+        level = left / (len(sizes) - k)
+        if sizes[name] > level:
+            share[name] = level / sizes[name]
+        left -= min(sizes[name], level)
+    if not share:
+        return df
+    most = F.create_map(*[F.lit(x) for name, part in share.items() for x in (name, int((1 << 30) * part))])
+    drawn = F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 30))
+    return df.filter(drawn < F.coalesce(F.try_element_at(most, F.col(group)), F.lit(1 << 30)))
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], key: list[str], rows: int) -> Iterator[pa.Table]:
     """Tables of whole runs of equal key from a partition sorted by it. A table has about `rows` rows, more only where one
     run does, so that memory doesn't follow the size of the partition."""

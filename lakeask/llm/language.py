@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, sample_by_hash
+from .common import bounded_batches, sample_each_by_hash
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -215,7 +215,8 @@ def _predict(batches: Iterator[pa.RecordBatch], models: Models, text_at: int, id
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Models:
-    """Models from at most about train_docs rows (by id hash) with `learn` true and a language; counts are made distributedly.
+    """Models from at most about train_docs rows with `learn` true and a language; counts are made distributedly. The rows are
+    dealt evenly to the languages and chosen by a hash of id and text, so that a rare language has a model at every size.
 
     The rejection limit is calibrated on the same rows: the largest cross-entropy of a row plus a quarter, or three
     fifths of the way from the median to that of even odds if more, so that known text is kept and only text unlike every
@@ -224,7 +225,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     bounded_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
-    bounded = sample_by_hash(rows, F.col("id"), train_docs)
+    bounded = sample_each_by_hash(rows, "lang", ["id", "text"], train_docs)
     table = bounded.select("lang", "text").mapInArrow(partial(_count, order=ORDER), "lang string, gram binary, n long")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, gram, n in table.groupBy("lang", "gram").agg(F.sum("n")).toLocalIterator():

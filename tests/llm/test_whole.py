@@ -1,0 +1,23 @@
+"""Corpus operators on rows that samples, ids and distances used to leave out."""
+
+from pyspark.sql import functions as F
+
+from lakeask.llm import common, language
+
+
+def test_a_rare_language_keeps_its_model(spark):
+    common_rows = spark.range(6000).select("id", F.concat(F.lit("plain words of an ordinary line "), "id").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.range(3).select(F.lit(None).cast("long").alias("id"), F.concat(F.lit("это обычный русский текст про погоду "), "id").alias("text"), F.lit("ru").alias("lang"))
+    docs = common_rows.union(rare).withColumnRenamed("id", "doc_id")
+    models = language.train(docs, F.lit(True), train_docs=60)
+    assert models.langs == ["en", "ru"]
+    found = language.identify(rare.withColumnRenamed("id", "doc_id"), models).collect()
+    assert {(r["lang_pred"], r["rejected"]) for r in found} == {("ru", False)}
+
+
+def test_a_sample_is_dealt_evenly(spark):
+    rows = spark.range(30_000).select("id", F.when(F.col("id") < 20, "c").when(F.col("id") < 10_000, "b").otherwise("a").alias("lang"))
+    got = {r[0]: r[1] for r in common.sample_each_by_hash(rows, "lang", ["id"], 2020).groupBy("lang").count().collect()}
+    assert got["c"] == 20 and abs(got["a"] - 1000) < 150 and abs(got["b"] - 1000) < 150
+    assert common.sample_each_by_hash(rows, "lang", ["id"], 30_000).count() == 30_000
+    assert common.sample_each_by_hash(rows.limit(0), "lang", ["id"], 5).count() == 0
