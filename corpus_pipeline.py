@@ -11,7 +11,7 @@ from lakeask.llm.common import crc_of_id, stage
 
 #: SQL can't express the language models, fingerprints and packing; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-#: Most ids (8 bytes each) of dropped documents that are broadcast; more of them meet the documents by a shuffle.
+#: Most row numbers (8 bytes each) of dropped documents that are broadcast; more of them meet the documents by a shuffle.
 BROADCAST_IDS = 1 << 20
 
 
@@ -22,18 +22,32 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return found.filter("not rejected").select("carried.*")
 
 
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """docs, written once with a number of each row's own, and the number's name: ids may be null or used again."""
+    name = "row_number_"
+    while name in docs.columns:
+        name += "_"
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    return exact_dedup.exact_dedup(docs).filter("kept").select("row.*")
+    """Of equal texts the one row with the largest doc_id, nulls below all others; of several such rows, the last."""
+    rows, number = numbered(docs, "rows")
+    key = f"{number}key"
+    found = exact_dedup.exact_dedup(rows.withColumn(key, F.struct("doc_id", number)), key)
+    return found.filter("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest doc_id."""
-    found = simhash.simhash_dedup(docs)
-    gone = stage(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    """Of each SimHash component the one row with the smallest doc_id, nulls after all others; of several such rows, the first."""
+    rows, number = numbered(docs, "rows")
+    found = simhash.simhash_dedup(rows, number).select(number, "component_id").join(rows.select("doc_id", number), number)
+    found = stage(found, "found")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", number))[number].alias(number))
+    gone = stage(found.select(number).join(first, number, "left_anti"), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
