@@ -16,7 +16,7 @@ ENDPOINT = r"""(https?|postgres|mysql|mongodb|amqp|redis|ftp)://([^\x00-\x20"'<>
 WEAK = r"(?<![A-Za-z0-9+/_-])(?=[a-zA-Z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}"
 
 KINDS = ("assign", "access", "hex", "ident", "endpoint", "weak")
-#: Code points between the starts of parts of one credential.
+#: Most code points between the end of one part of a credential and the start of the next.
 SCOPE = 400
 
 
@@ -55,15 +55,17 @@ def _linked(spans: DataFrame) -> DataFrame:
     """Weak parts that an interval join finds complementary parts of within a scope.
 
     Identifiers need a secret (assign, hex or weak); weak secrets need an identifier (access or ident) or an endpoint.
-    Each part meets those of its own and both neighbouring scopes by an equi-join on row and scope, semi, so that no pair
-    is ever emitted.
+    Parts meet by an equi-join on row and scope, semi, so that no pair is ever emitted: a weak part stands in the scopes of its
+    start and end and their neighbours, another in those of its start and end, and the end of the first of two parts that are near
+    is in the same scope as the start of the next or in one beside it. So a part has six rows at most, however long it is.
     """
-    scope = F.floor(F.col("start") / SCOPE)
+    scope = lambda at: F.floor(F.col(at) / SCOPE)
+    around = lambda at: [scope(at) + k for k in (-1, 0, 1)]
     out = None
     for kind, others in ((5, (1, 3, 4)), (3, (0, 2, 5))):
-        weak = spans.filter(F.col("kind") == kind).withColumn("scope", F.explode(F.array(scope - 1, scope, scope + 1)))
-        other = spans.filter(F.col("kind").isin(*others)).select(F.col("rid").alias("orid"), scope.alias("oscope"), F.col("start").alias("ostart"), F.col("end").alias("oend"))
-        near = (F.col("rid") == F.col("orid")) & (F.col("scope") == F.col("oscope")) & (F.abs(F.col("start") - F.col("ostart")) <= SCOPE) & ((F.col("end") <= F.col("ostart")) | (F.col("oend") <= F.col("start")))
+        weak = spans.filter(F.col("kind") == kind).withColumn("scope", F.explode(F.array_distinct(F.array(*around("start"), *around("end")))))
+        other = spans.filter(F.col("kind").isin(*others)).select(F.col("rid").alias("orid"), F.explode(F.array_distinct(F.array(scope("start"), scope("end")))).alias("oscope"), F.col("start").alias("ostart"), F.col("end").alias("oend"))
+        near = (F.col("rid") == F.col("orid")) & (F.col("scope") == F.col("oscope")) & ((F.col("ostart") - F.col("end")).between(0, SCOPE) | (F.col("start") - F.col("oend")).between(0, SCOPE))
         found = weak.join(other, near, "left_semi").select("rid", "kind", "start", "end").distinct()
         out = found if out is None else out.union(found)
     return out
@@ -73,8 +75,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     """Every row of docs (columns `keep`, default all, as struct `row`) with `spans`: array of (start, kind, end).
 
     Kinds number KINDS; starts and ends count code points, end exclusive; spans are sorted by start, then kind. assign,
-    access and hex are the base findings; ident and weak are parts reported only when complementary parts stand within
-    SCOPE code points; endpoints serve as company only. Null and empty texts have none. Rows without any match never
+    access and hex are the base findings; ident and weak are parts reported only when at most SCOPE code points
+    lie between them and complementary parts; endpoints serve as company only. Null and empty texts have none. Rows without any match never
     shuffle; rows with one are written once with a row number, so repeated rows and ids are told apart.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

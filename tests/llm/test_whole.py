@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lakeask.llm import common, language
+from lakeask.llm import common, language, secrets
 
 
 def test_a_rare_language_keeps_its_model(spark):
@@ -46,3 +46,24 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark, sf, tmp_path, monkey
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     packed = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
     assert {r["doc_id"] for r in packed} == {None, 3, 7}
+
+
+def test_long_values_keep_their_neighbours(spark):
+    weak = "Ab3" + "kLmN0pQr" * 4
+    rows, want = [], {}
+    for size in (5, 390, 401, 799, 800, 1601, 5000):
+        for gap in (0, 1, 380, 399, 400, 401, 800):
+            for long in (f"token={'z' * size}", f"https://{'z' * size}"):
+                for at in (0, 7, 399):
+                    part = "client_id=abc" if long.startswith("token") else weak
+                    for first, text in ((True, f"{part}{'~' * gap}{long}"), (False, f"{long}{'~' * gap}{part}")):
+                        if gap == 0 or (size < 6 and long.startswith("token")):
+                            continue
+                        text = "~" * at + text
+                        if not first and long.startswith("http"):
+                            text = text.replace("z~", "z ", 1)  # an address ends at a space
+                        want[len(rows)] = gap <= secrets.SCOPE
+                        rows.append((len(rows), text))
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r[0]: r[1] for r in found.select("row.doc_id", F.exists("spans", lambda s: s["kind"].isin(3, 5))).collect()}
+    assert got == want and set(want.values()) == {True, False}
