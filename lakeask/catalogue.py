@@ -165,6 +165,12 @@ def text_fill_slots(spark, d):
     return table(spark, d, "part").filter("p_brand = 'Brand#11'").select("p_partkey", asked.alias("filled"))
 
 
+@query("SELECT p_partkey, concat('brand ', p_brand, ' of type ', p_type) AS filled FROM part")
+def text_fill_slots_whole(spark, d):
+    asked = X.fill_slots(F.lit("brand {p_brand} of type {p_type}"), {"p_brand": F.col("p_brand"), "p_type": F.col("p_type")})
+    return table(spark, d, "part").select("p_partkey", asked.alias("filled"))
+
+
 @query(f"SELECT conv_id, turn, md5(regexp_replace(text, {literal(X.SPACE + '+')}, '', 'g')) AS digest FROM conversations")
 def text_remove_spaces(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(X.remove_spaces(F.col("text"))).alias("digest"))

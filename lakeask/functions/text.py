@@ -114,8 +114,12 @@ def placeholder_columns(c: Column) -> Column:
     return F.sort_array(F.array_distinct(F.filter(F.transform(parts, strip), lambda x: x != "")))
 
 
-def fill_slots(template: Column, slots: dict[str, str]) -> Column:
-    return reduce(lambda c, s: F.replace(c, F.lit("{" + s[0] + "}"), F.lit(s[1])), slots.items(), template)
+def fill_slots(template: Column, slots: dict[str, str | Column]) -> Column:
+    """Slots filled with fixed texts or with each row's own; a null leaves its slot empty. Braces in a text are not filled again."""
+    pieces = F.split(template, r"(?=\{)|(?<=\})")
+    value = lambda v: F.coalesce(v if isinstance(v, Column) else F.lit(v), F.lit(""))
+    filled = lambda p: reduce(lambda rest, s: F.when(p == "{" + s[0] + "}", value(s[1])).otherwise(rest), slots.items(), p)
+    return F.array_join(F.transform(pieces, filled), "")
 
 
 def remove_spaces(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeask import catalogue
 from lakeask.catalogue import METADATA, QUERIES
+from lakeask.functions import text
 from lakeask.plans import ask, models, sqlgate
 
 
@@ -96,3 +97,11 @@ def test_profiles_cover_every_scalar_column_of_every_table(spark, sf):
         assert {r["column"]: r.asDict() for r in QUERIES[f"profile_{name}_whole"](spark, sf).collect()} == {c: r for (t, c), r in want.items() if t == name}
     ranges = {tuple(r) for r in QUERIES["profile_numeric_range_whole"](spark, sf).select("column", "min_value", "max_value").collect()}
     assert ranges == {(c, r["min_value"], r["max_value"]) for (t, c), r in want.items() if t == "lineitem" and r["data_type"] == "NUMERIC"} and len(ranges) == 8
+
+
+def test_slots_are_filled_from_each_row(spark, sf):
+    part = {r["p_partkey"]: f"brand {r['p_brand']} of type {r['p_type']}" for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    assert {r[0]: r[1] for r in QUERIES["text_fill_slots_whole"](spark, sf).collect()} == part
+    df = spark.createDataFrame([("{b}", "x"), (None, "$1\\")], "a string, b string")
+    filled = text.fill_slots(F.lit("{a}, {b}{b} {c} {{b}}"), {"a": F.col("a"), "b": F.col("b")})
+    assert [r[0] for r in df.select(filled).collect()] == ["{b}, xx {c} {x}", ", $1\\$1\\ {c} {$1\\}"]
