@@ -2,39 +2,105 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from py4j.java_gateway import JavaObject
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share, as the session names it in spark.checkpoint.dir; a temporary one where unset (tests)."""
+    """The folder all machines share, as the session names it in spark.checkpoint.dir. Where that is unset, a temporary one,
+    which only a local master can do with."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lakeask-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/lakeask-{label}-{uuid.uuid4().hex}"
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _place(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. The table goes when the
+    driver ends, or with the `scratch` it was written in, unless it is to `keep`."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lakeask-{label}-{uuid.uuid4().hex}"
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not keep and (held := _written.get()) is not None:
+        held.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a table that `stage` wrote and no later plan reads; any other frame is left alone."""
+    if path := _paths.pop(staged, None):
+        files, place = _place(staged.sparkSession, path)
+        files.delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within are deleted at the end, when what was made of them has been written."""
+    token = _written.set(held := [])
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in held:
+            files, place = _place(spark, path)
+            files.delete(place, True)
+
+
+_UNITS = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -> None:
-    """Hold Arrow batches to a number of rows and bytes, so that a worker's memory doesn't follow the length of texts."""
+    """Hold Arrow batches to a number of rows and bytes, so that a worker's memory doesn't follow the length of texts.
+
+    Spark reads the two settings when a plan runs, so they are lowered in the session and stay so; lower ones are left alone.
+    """
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = spark.conf.get(name, str(most)).rstrip("bB")
-        if not now.isdigit() or not 0 < int(now) <= most:
+        now = re.fullmatch(r"(-?\d+)\s*([a-z]*)", spark.conf.get(name).strip().lower())
+        if not now or not 0 < int(now[1]) << _UNITS.get(now[2], 63) <= most:
             spark.conf.set(name, str(most))
 
 
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a struct `name` (file, row) of each row's own, the same in every scan, whatever ids repeat or are null. A table
+    read from Parquet has it for nothing; anything else is written first."""
+
+    def keyed(df: DataFrame) -> DataFrame:
+        place = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")))
+
+    try:
+        return keyed(docs)
+    except AnalysisException:
+        return keyed(stage(docs, "rows"))
+
+
 def crc_of_id(column: Column) -> Column:
     """crc32 of the id as decimal text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
+from .common import discard, scratch, stage
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,14 +60,17 @@ def connected_components(edges: DataFrame, single_task_edges: int = 1 << 19, con
         return edges.coalesce(1).mapInArrow(_contract, "u long, v long").toDF("node", "root")
     before = None
     while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.filter("u <> v").distinct(), "large")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        last = edges
+        with scratch(edges.sparkSession):
+            both = edges.union(edges.select("v", "u"))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = stage(large.filter("u <> v").distinct(), "large")
+            down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            least = down.groupBy("u").agg(F.min("v").alias("m"))
+            small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+            edges = stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small", keep=True)
+        discard(last)
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             return edges.toDF("node", "root")

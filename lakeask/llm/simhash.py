@@ -16,8 +16,8 @@ from .components import connected_components, forest
 
 #: Runs up to this length are compared by offset, longer ones by growing clusters.
 SHORT_RUN = 48
-#: Rows that a task compares at a time, runs being kept whole.
-HELD_ROWS = 1 << 18
+#: Rows that a task compares at a time, runs being kept whole, and rows whose pivot distances are worked out at a time.
+HELD_ROWS, TABLE_ROWS = 1 << 16, 1 << 13
 _RUN = ["key", "tile_a", "tile_b"]
 
 
@@ -44,6 +44,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "fp"])
 
 
+def fingerprints(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 4) -> DataFrame:
+    """(id, fp), written: the fingerprint of each row's whole text; ids may be of any type."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return stage(rows.mapInArrow(partial(_fingerprints, words=words), f"id {kind}, fp long"), "prints")
+
+
 def pivots(count: int = 64) -> np.ndarray:
     """Reference fingerprints: the rows of the 64-bit Walsh table, so that distances to them vary independently."""
     i, j = np.meshgrid(np.arange(count), np.arange(64), indexing="ij")
@@ -52,8 +60,11 @@ def pivots(count: int = 64) -> np.ndarray:
 
 
 def distance_table(prints: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """Hamming distance of each fingerprint to each pivot."""
-    return np.bitwise_count(prints[:, None] ^ refs[None, :]).astype(np.int8)
+    """Hamming distance of each fingerprint to each pivot, made slice by slice: the wide numbers of a slice only are held."""
+    out = np.empty((len(prints), len(refs)), np.int8)
+    for at in range(0, len(prints), TABLE_ROWS):
+        out[at : at + TABLE_ROWS] = np.bitwise_count(prints[at : at + TABLE_ROWS, None] ^ refs[None, :])
+    return out
 
 
 def survivors(table: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
@@ -96,13 +107,15 @@ def _verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
 
 
 def _run_links(rows: pa.Table, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    key, fp, node, tile, a, b = (rows.column(k).to_numpy() for k in ("key", "fp", "node", "tile", "tile_a", "tile_b"))
-    order = np.lexsort((fp, b, a, key))
-    key, fp, node, tile, a, b = (x[order] for x in (key, fp.view(np.uint64), node, tile, a, b))
+    """Links of fingerprints, which stand as signed numbers for themselves."""
+    key, node, tile, a, b = (rows.column(k).to_numpy() for k in ("key", "fp", "tile", "tile_a", "tile_b"))
+    order = np.lexsort((node, b, a, key))
+    key, node, tile, a, b = (x[order] for x in (key, node, tile, a, b))
+    fp = node.view(np.uint64)
     new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]), True])
     length = np.diff(new)
     run_end = np.repeat(new[1:], length)
-    table = distance_table(fp, refs := pivots())
+    table = distance_table(fp, pivots())
     us, vs = [], []
     short = np.repeat(length, length) <= SHORT_RUN
     for d in range(1, min(SHORT_RUN, int(length.max()))):
@@ -142,14 +155,17 @@ def representatives(prints: DataFrame) -> DataFrame:
 
 
 def fingerprint_components(reps: DataFrame, distance: int = 4, tile_rows: int = 20_000) -> DataFrame:
-    """(fp, component) for the fingerprints of `reps`, linked at `distance` or fewer differing bits."""
+    """(fp, component) for the fingerprints of `reps`, linked at `distance` or fewer differing bits: the smallest node of those
+    reachable, nulls left out. Fingerprints themselves are what is linked, so nodes may be null or of any type."""
     masks = block_masks(reps.count(), distance)
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])
-    keyed = reps.filter("node is not null").select("fp", "node", F.explode(keys).alias("key"))
+    keyed = reps.select("fp", F.explode(keys).alias("key"))
     dealt = tile_hot_keys(keyed, "key", F.col("fp"), tile_rows).repartition(*_RUN).sortWithinPartitions(*_RUN)
     edges = dealt.mapInArrow(partial(_verify, distance=distance), "u long, v long")
-    roots = connected_components(edges, contracted=True)
-    return reps.join(roots, reps["node"] == roots["node"], "left").select("fp", F.coalesce("root", reps["node"]).alias("component"))
+    roots = connected_components(edges, contracted=True).withColumnRenamed("node", "fp")
+    rooted = reps.join(roots, "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("node").alias("component"))
+    return rooted.join(least, "root").select("fp", "component")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
@@ -157,12 +173,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents link when their fingerprints differ in at most `distance` bits; component_id is the smallest id reachable.
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat an id are fingerprinted one by
-    one; a null id belongs to the component of its fingerprint. Equal fingerprints meet as one row, so copies never
-    multiply. Candidate pairs come from masked fingerprints that links must share; the pivot distance tables discard
-    those with a coordinate difference over `distance`, and the Hamming distance verifies the rest.
+    one; rows without an id link too, and have a null component only if no row of it has one. Equal fingerprints meet as one
+    row, so copies never multiply. Candidate pairs come from masked fingerprints that links must share; the pivot distance
+    tables discard those with a coordinate difference over `distance`, and the Hamming distance verifies the rest.
     """
-    bounded_batches(docs.sparkSession)
-    prints = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = stage(prints.mapInArrow(partial(_fingerprints, words=words), "id long, fp long"), "prints")
+    prints = fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", words)
     reps = representatives(prints)
-    return join_groups(prints, fingerprint_components(reps, distance), reps, ["fp"], "id").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    found = join_groups(prints, fingerprint_components(reps, distance), reps, ["fp"], "id")
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
