@@ -6,33 +6,53 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stage
 
-#: Most words (a long and a mask each) of the second filter when it is broadcast; a larger one is folded to this size,
-#: which lets more single rows through to the exact step but never loses a repeated one.
-BROADCAST_WORDS = 1 << 20
+#: Most 64-bit words of the second filter, which is broadcast (128 MB). It grows with the repeated texts up to here, which has
+#: over five bits for each of 10^8 of them; beyond, more single rows take the exact step, but a repeated one never is lost.
+BROADCAST_WORDS = 1 << 24
+#: Words of a page: the filter is broadcast as arrays, not as a row for each word.
+PAGE = 512
 
 #: A group of copies is hot with more rows than this and than a thousandth of all repeated rows. Fewer than a thousand groups
 #: can be hot, which bounds what is broadcast.
 HOT_ROWS = 1_000
 
 
-def _bits(h: Column) -> Column:
-    """Three of 64 bits, from other bits of the hash than those that choose the word."""
-    bit = [F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {s}) & 63))") for s in (40, 46, 52)]
+def _pattern(h: Column, words: int) -> Column:
+    """A hash's place in a blocked Bloom filter as one number: the word it falls in, then three of 64 bits, six binary digits each,
+    from other parts of the hash."""
+    return F.shiftleft(h.bitwiseAND(F.lit(words - 1)), 18).bitwiseOR(F.shiftrightunsigned(h, 40).bitwiseAND(F.lit((1 << 18) - 1)))
+
+
+def _bits(pattern: Column) -> Column:
+    """The word with a pattern's three bits set."""
+    bit = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(pattern, at).bitwiseAND(F.lit(63)).cast("int")) for at in (0, 6, 12)]
     return bit[0].bitwiseOR(bit[1]).bitwiseOR(bit[2])
 
 
-def repeated_filter(hashes: DataFrame, bits_per_row: int = 16) -> DataFrame:
-    """Second Bloom filter: (word, mask) of the hashes that may occur more than once.
+def _page(word: Column) -> Column:
+    return F.shiftrightunsigned(word, PAGE.bit_length() - 1)
+
+
+def _power(least: int) -> int:
+    return 1 << max(least - 1, 0).bit_length()
+
+
+def repeated_filter(hashes: DataFrame, bits_per_row: int = 16) -> tuple[DataFrame, int]:
+    """Second Bloom filter of the hashes (column h) that may occur more than once, as (page, masks), and its number of words.
 
-    The first pass counts each blocked-Bloom pattern (word number, three bits) with map-side sums, so only 20 bytes a row
-    move; patterns met twice set their bits in the second filter. A hash not in it occurs once for certain.
+    The first pass sets each hash's pattern in a filter of `bits_per_row` bits a row. Its bit arrays would weigh rows x tasks, so
+    tasks send the patterns they set, one number each and repeats already summed, and those set twice go into the second
+    filter. A hash not in that occurs once for certain. The second filter has 16 bits for each pattern in it.
     """
-    words = 1
-    while words * 64 < bits_per_row * max(hashes.count(), 1):
-        words *= 2
-    seen = hashes.select(F.col("h").bitwiseAND(F.lit(words - 1)).alias("word"), _bits(F.col("h")).alias("bits"))
-    twice = seen.groupBy("word", "bits").count().filter("count > 1")
-    return twice.groupBy("word").agg(F.bit_or("bits").alias("mask")).withColumn("words", F.lit(words).cast("long"))
+    words = _power(bits_per_row * max(hashes.count(), 1) // 64)
+    twice = hashes.groupBy(_pattern(F.col("h"), words).alias("pattern")).count().filter("count > 1").select("pattern")
+    twice = stage(twice, "bloom")
+    size = min(_power(max(twice.count() // 4, 1)), words, BROADCAST_WORDS)
+    word = F.shiftrightunsigned("pattern", 18).bitwiseAND(F.lit(size - 1))
+    zeros = hashes.sparkSession.range(size).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask"))
+    table = twice.select(word.alias("word"), _bits(F.col("pattern")).alias("mask")).union(zeros).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    pages = table.groupBy(_page(F.col("word")).alias("page")).agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("masks"))
+    return stage(pages, "filter"), size
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,16 +66,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.struct("*").alias("row"))
     hashed = docs.select(F.xxhash64(text).alias("h"))
-    seen = stage(repeated_filter(hashed), "bloom")
-    words = seen.count()
-    first = seen.select("words").first()
-    size = first[0] if first else 1
+    pages, size = repeated_filter(hashed)
     rows = rows.withColumn("h", F.xxhash64("t")).withColumn("text_sha256", F.sha2("t", 256)).drop("t")
-    if words > BROADCAST_WORDS:
-        size = BROADCAST_WORDS
-    table = seen.groupBy(F.col("word").bitwiseAND(F.lit(size - 1)).alias("word")).agg(F.bit_or("mask").alias("mask"))
-    rows = rows.withColumns({"word": F.col("h").bitwiseAND(F.lit(size - 1)), "bits": _bits(F.col("h"))})
-    flagged = rows.join(F.broadcast(table), "word", "left").withColumn("maybe", F.coalesce(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False)))
+    rows = rows.withColumn("word", F.col("h").bitwiseAND(F.lit(size - 1))).withColumn("page", _page(F.col("word")))
+    bits = _bits(_pattern(F.col("h"), size))
+    mask = F.element_at("masks", F.col("word").bitwiseAND(F.lit(PAGE - 1)).cast("int") + 1)
+    flagged = rows.join(F.broadcast(pages), "page", "left").withColumn("maybe", mask.bitwiseAND(bits) == bits)  # every page is there
     groups = flagged.filter("maybe").groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = stage(groups, "copies")
     repeated = groups.agg(F.sum("group_size")).first()[0] or 0
@@ -66,4 +82,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     settled = settled.withColumns({"keep_id": F.when(F.col("hot_size").isNull(), F.col("id")).otherwise(F.col("hot_id")), "group_size": F.coalesce("hot_size", F.lit(1).cast("long"))})
     settled = settled.select("row", "keep_id", "group_size", kept, "text_sha256")
     again = known.filter(F.col("maybe") & F.col("hot_size").isNull()).select("row", "id", "text_sha256")
-    return settled.union(again.join(groups, "text_sha256").select("row", "keep_id", "group_size", kept, "text_sha256"))
+    return settled.union(again.join(groups, "text_sha256", "left").select("row", "keep_id", "group_size", kept, "text_sha256"))
