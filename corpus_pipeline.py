@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeask.llm import exact_dedup, language, packing, secrets, simhash
-from lakeask.llm.common import crc_of_id, stage
+from lakeask.llm.common import crc_of_id, discard, join_groups, scratch, stage, with_row_key
 
 #: SQL can't express the language models, fingerprints and packing; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-#: Most row numbers (8 bytes each) of dropped documents that are broadcast; more of them meet the documents by a shuffle.
-BROADCAST_IDS = 1 << 20
+#: Most row keys (a file's name and a number each) of dropped documents that are broadcast; more meet the documents by a shuffle.
+BROADCAST_KEYS = 1 << 17
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,32 +22,34 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return found.filter("not rejected").select("carried.*")
 
 
-def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """docs, written once with a number of each row's own, and the number's name: ids may be null or used again."""
-    name = "row_number_"
+def _free_name(docs: DataFrame) -> str:
+    name = "row_key_"
     while name in docs.columns:
         name += "_"
-    return stage(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+    return name
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one row with the largest doc_id, nulls below all others; of several such rows, the last."""
-    rows, number = numbered(docs, "rows")
-    key = f"{number}key"
-    found = exact_dedup.exact_dedup(rows.withColumn(key, F.struct("doc_id", number)), key)
+    """Of equal texts the one row with the largest doc_id, nulls below all others; of several such rows, the last of the table."""
+    key = _free_name(docs)
+    rows = with_row_key(docs, key)
+    found = exact_dedup.exact_dedup(rows.withColumn(key, F.struct("doc_id", f"{key}.file", f"{key}.row")), key)
     return found.filter("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the one row with the smallest doc_id, nulls after all others; of several such rows, the first."""
-    rows, number = numbered(docs, "rows")
-    found = simhash.simhash_dedup(rows, number).select(number, "component_id").join(rows.select("doc_id", number), number)
-    found = stage(found, "found")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", number))[number].alias(number))
-    gone = stage(found.select(number).join(first, number, "left_anti"), "gone")
-    if gone.count() <= BROADCAST_IDS:
+    """Of each SimHash component the one row with the smallest doc_id, nulls after all others; of several such rows, the first of
+    the table. Rows are told apart by their place in the table, so ids may be null or used again."""
+    key = _free_name(docs)
+    rows = with_row_key(docs, key)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", f"{key}.file", f"{key}.row")
+    prints = simhash.fingerprints(rows.select(rank.alias("id"), "text"), "id")
+    reps = simhash.representatives(prints)
+    found = join_groups(prints, simhash.fingerprint_components(reps), reps, ["fp"], "id")
+    gone = stage(found.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.struct("id.file", "id.row").alias(key)), "gone")
+    if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    return rows.join(gone, number, "left_anti").select(*docs.columns)
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +76,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; a stage's own tables, and its input, are deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        with scratch(spark):
+            result = stage(function(spark, docs, sf_dir), name, keep=True)
+        discard(docs)
+        docs = result
     return STAGES[-1][1](spark, docs, sf_dir)
