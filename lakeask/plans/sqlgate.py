@@ -1,23 +1,40 @@
-"""Read-only gate for candidate SQL, dialect rewrites, and literals of its filters."""
+"""Read-only gate for candidate SQL, its execution in a session of its own, and literals of its filters."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from py4j.java_gateway import is_instance_of
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.errors import AnalysisException, ParseException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lakeask.functions.text import strip
+from lakeask.plans import dialect
+from lakeask.plans.dialect import rewrite as rewrite_dialect
 from lakeask.session import dialect_session
 
-# Plan nodes of queries, and functions that reach outside the data.
+# Plan nodes of queries, groups of built-in functions that see nothing but their arguments, and expressions that name
+# what is to be called or read only when they run, or the user.
 QUERY_NODES = frozenset(
     "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct Deduplicate Union Except Intersect Join UnresolvedHaving SubqueryAlias "
     "UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedWith WithWindowDefinition Window OneRowRelation LocalRelation UnresolvedInlineTable "
     "Pivot Unpivot Generate LateralJoin Expand Tail".split()
 )
-BARRED_FUNCTIONS = frozenset("java_method reflect try_reflect input_file_name assert_true raise_error current_user session_user user current_catalog current_database current_schema version spark_partition_id".split())
+FUNCTION_GROUPS = frozenset(
+    "agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs datetime_funcs generator_funcs hash_funcs json_funcs "
+    "lambda_funcs map_funcs math_funcs predicate_funcs string_funcs struct_funcs window_funcs".split()
+)
+BARRED_EXPRESSIONS = frozenset("ExpressionWithUnresolvedIdentifier CurrentUser CurrentDatabase CurrentCatalog".split())
+BARRED_ATTRIBUTES = frozenset("current_user session_user user current_catalog current_database current_schema".split())
+
+
+#: What a plan can fail with when it runs; some errors of the JVM come as they are.
+FAILURES = (PySparkException, Py4JJavaError)
 
 
 @dataclass
@@ -78,35 +95,40 @@ def first_select(text: str) -> str:
     return next((p for p in split_statements(text) if re.match(r"(?i)\(*\s*(select|with|values|from)\b", p)), text.strip())
 
 
-def rewrite_dialect(sql: str) -> str:
-    """LIKE to ILIKE, IFNULL-like names and == to Spark's, outside of quotes."""
-    rules = ((r"(?i)\b(?<!r)like\b", "ILIKE"), (r"(?i)\biif\s*\(", "if("), (r"(?i)\btotal\s*\(", "sum("), (r"(?i)\bgroup_concat\s*\(", "listagg("), (r"==", "="))
-    parts = re.split(r"('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`)", sql)
-    for k in range(0, len(parts), 2):
-        for pattern, to in rules:
-            parts[k] = re.sub(pattern, to, parts[k])
-    return "".join(parts)
-
-
 def _each(sequence):
     return (sequence.apply(k) for k in range(sequence.size()))
 
 
-def _walk(plan, plans: list, expressions: list) -> None:
-    """All plan nodes and expressions under a parsed plan, those of CTEs and subqueries included."""
-    plans.append(plan)
-    below = [*_each(plan.children())]
-    if plan.nodeName() == "UnresolvedWith":
-        below += _each(plan.innerChildren())
-    for child in below:
-        _walk(child, plans, expressions)
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _expressions(plan, subquery: Callable) -> Iterator:
+    """All expressions of one plan node; plans inside of them go to `subquery`."""
     stack = [*_each(plan.expressions())]
     while stack:
         e = stack.pop()
-        expressions.append(e)
+        yield e
         stack += _each(e.children())
-        if e.nodeName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression") or e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-            _walk(e.plan(), plans, expressions)
+        if is_instance_of(_gateway(), e, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+            subquery(e.plan())
+
+
+def _gateway():
+    return SparkContext._gateway
+
+
+def _walk(plan, plans: list, expressions: list, scope: frozenset = frozenset()) -> None:
+    """All plan nodes under a parsed plan, each with the names of CTEs in scope, and all expressions; CTEs and subqueries included."""
+    plans.append((plan, scope))
+    if plan.nodeName() == "UnresolvedWith":  # a CTE sees those before it, and itself if recursive; the query sees all
+        for cte in _each(plan.innerChildren()):
+            own = frozenset({cte.alias().lower()})
+            _walk(cte, plans, expressions, scope | own if plan.allowRecursion() else scope)
+            scope |= own
+    expressions += _expressions(plan, lambda below: _walk(below, plans, expressions, scope))
+    for child in _each(plan.children()):
+        _walk(child, plans, expressions, scope)
 
 
 def _parsed(spark: SparkSession, sql: str) -> tuple[list, list]:
@@ -116,43 +138,95 @@ def _parsed(spark: SparkSession, sql: str) -> tuple[list, list]:
     return plans, expressions
 
 
-def inspect(spark: SparkSession, sql: str, tables: set[str]) -> Outcome:
-    """Parse only. Anything but query nodes over the named tables and plain functions is rejected, as is any doubt."""
+@cache
+def _function_group(name: str) -> str:
+    """Group of a built-in function; empty for one that isn't built in."""
+    catalyst = SparkContext._jvm.org.apache.spark.sql.catalyst
+    found = catalyst.analysis.FunctionRegistry.builtin().lookupFunction(catalyst.FunctionIdentifier(name))
+    return found.get().getGroup() if found.isDefined() else ""
+
+
+def inspect(spark: SparkSession, sql: str, tables: set[str], columns: frozenset[str] = frozenset()) -> Outcome:
+    """Parse only. Anything but query nodes over the named tables, or CTEs in their scope, and built-in functions of the allowed
+    groups is rejected, as is any doubt. An alias is never a table. `columns`, in lower case, may be named as the user is."""
     try:
         plans, expressions = _parsed(spark, sql)
     except Exception as error:
         name = "SQL_ERROR" if "ParseException" in str(error) or isinstance(error, ParseException) else "REJECTED"
         return Outcome(error=name, detail=str(error).splitlines()[0][:300])
-    names = {t.lower() for t in tables} | {p.alias().lower() for p in plans if p.nodeName() == "SubqueryAlias"}
+    known = {t.lower() for t in tables}
     used = []
-    for p in plans:
+    for p, scope in plans:
         kind = p.nodeName()
         if kind not in QUERY_NODES:
             return Outcome(error="REJECTED", detail=f"not a query: {kind}")
         if kind == "UnresolvedRelation":
             parts = [*_each(p.multipartIdentifier())]
-            if len(parts) != 1 or parts[0].lower() not in names:
+            if len(parts) != 1 or parts[0].lower() not in known | scope:
                 return Outcome(error="REJECTED", detail=f"no such table: {'.'.join(parts)}")
-            used.append(parts[0])
+            if parts[0].lower() not in scope:
+                used.append(parts[0])
     for e in expressions:
-        if e.getClass().getSimpleName() == "UnresolvedFunction":
-            parts = [*_each(e.nameParts())]
-            if len(parts) != 1 or parts[0].lower() in BARRED_FUNCTIONS:
+        kind = _kind(e)
+        if kind in BARRED_EXPRESSIONS or kind == "UnresolvedAttribute" and [*_each(e.nameParts())][-1].lower() in BARRED_ATTRIBUTES - columns:
+            return Outcome(error="REJECTED", detail=f"not allowed: {e.toString()}")
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            parts = [*_each(e.nameParts())] if kind == "UnresolvedFunction" else [e.name().funcName()]
+            if len(parts) != 1 or _function_group(parts[0].lower()) not in FUNCTION_GROUPS:
                 return Outcome(error="REJECTED", detail=f"function not allowed: {'.'.join(parts)}")
     return Outcome(tables=used)
 
 
+def _span(e) -> tuple[int, int] | None:
+    at, end = e.origin().startIndex(), e.origin().stopIndex()
+    return (at.get(), end.get() + 1) if at.isDefined() and end.isDefined() else None
+
+
+def typed_edits(spark: SparkSession, sql: str, analysed) -> str:
+    """Rewrites that depend on types, which the analysed plan has: whole numbers divide without a rest, and sums and means of texts
+    count the number that each text begins with. The parsed plan has the operands' places in the text."""
+    plans: list = []
+    found: list = []
+    _walk(analysed, plans, found)
+    whole, texts = set(), set()
+    is_whole = lambda c: _kind(c) == "Cast" and c.child().dataType().typeName() in ("byte", "short", "integer", "long")
+    for e in found:
+        if _kind(e) == "Divide" and is_whole(e.left()) and is_whole(e.right()):
+            whole.add(_span(e))
+        elif _kind(e) in ("Sum", "Average") and _kind(e.child()) == "Cast" and e.child().child().dataType().typeName() == "string":
+            texts.add(_span(e))
+    edits: list[tuple[int, int, str]] = []
+    for e in _parsed(spark, sql)[1] if whole | texts else []:
+        if _kind(e) == "Divide" and _span(e) in whole and (left := _span(e.left())) and (right := _span(e.right())):
+            edits.append((at := sql.index("/", left[1], right[0]), at + 1, " div "))
+        elif _kind(e) == "UnresolvedFunction" and _span(e) in texts and (inner := _span(e.arguments().apply(0))):
+            edits.append((*inner, dialect.number_text(sql[slice(*inner)])))
+    for at, end, new in sorted(edits, reverse=True):
+        sql = sql[:at] + new + sql[end:]
+    return sql
+
+
 def execute(spark: SparkSession, sql: str, tables: dict[str, DataFrame], rewrite: bool = True) -> Outcome:
-    """Run the first query of a text over the tables, or say why not. The result is lazy; its schema is already analysed."""
+    """Run the first query of a text over the tables, or say why not. The result is lazy; its schema is already analysed.
+
+    It runs in a child session, with the dialect's casts, that has these tables and nothing else: views and functions of the
+    caller's session are neither seen nor replaced.
+    """
     sql = first_select(sql)
-    sql = rewrite_dialect(sql) if rewrite else sql
-    found = inspect(spark, sql, set(tables))
+    sql = dialect.rewrite(sql) if rewrite else sql
+    child = dialect_session(spark)
+    found = inspect(child, sql, set(tables), frozenset(c.lower() for df in tables.values() for c in df.columns))
     if not found.ok:
         return found
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+        classic = getattr(spark._jvm.org.apache.spark.sql.classic, "Dataset$").__getattr__("MODULE$")
+        classic.ofRows(child._jsparkSession, df._jdf.queryExecution().analyzed()).createOrReplaceTempView(name)
     try:
-        return Outcome(data=spark.sql(sql), tables=found.tables)
+        out = child.sql(sql)
+        while rewrite and (edited := typed_edits(child, sql, out._jdf.queryExecution().analyzed())) != sql:
+            sql = edited  # a quotient of whole numbers is one itself
+            out = child.sql(sql)
+        return Outcome(data=out, tables=found.tables)
     except (AnalysisException, ParseException) as error:
         missing = "UNRESOLVED_COLUMN" in str(error) or "FIELD_NOT_FOUND" in str(error)
         return Outcome(error="NO_SUCH_COLUMN" if missing else "SQL_ERROR", detail=str(error).splitlines()[0][:300])
@@ -165,7 +239,7 @@ def rows(outcome: Outcome, most: int = 10_000) -> Outcome:
     if outcome.data is not None:
         try:
             outcome.fetched = [tuple(r) for r in outcome.data.limit(most).collect()]
-        except PySparkException as error:
+        except FAILURES as error:
             return Outcome(error="SQL_ERROR", detail=str(error).splitlines()[0][:300])
     return outcome
 
@@ -200,7 +274,7 @@ def whole(outcome: Outcome, most: int = 10_000) -> Outcome:
         digest = rows_.select("plain").distinct().agg(F.count("*"), half(1), half(17)).first()
         outcome.whole = Whole(outcome.data, count, full_count, tuple(digest))
         outcome.fetched = [tuple(r["row"]) for r in distinct.orderBy(F.desc("full"), "text").limit(most).collect()]
-    except PySparkException as error:
+    except FAILURES as error:
         return Outcome(error="SQL_ERROR", detail=str(error).splitlines()[0][:300])
     finally:
         held.unpersist()
@@ -234,4 +308,4 @@ def missing_literals(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[
     return [p for k, p in enumerate(known) if not hit[k]]
 
 
-__all__ = ["Outcome", "dialect_session", "execute", "first_select", "inspect", "missing_literals", "rewrite_dialect", "rows", "split_statements", "where_literals", "whole"]
+__all__ = ["Outcome", "execute", "first_select", "inspect", "missing_literals", "rewrite_dialect", "rows", "split_statements", "typed_edits", "where_literals", "whole"]

@@ -21,8 +21,12 @@ def build(master: str | None = None, **extra: str) -> SparkSession:
 
 
 def dialect_session(spark: SparkSession) -> SparkSession:
-    """A child session for candidate SQL: quoted identifiers, and casts that give null instead of an error."""
+    """A child session for candidate SQL, with the caller's settings but quoted identifiers and casts that give null instead of an
+    error; views and functions of the caller are not in it."""
     child = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and child.conf.isModifiable(name):
+            child.conf.set(name, value)
     child.conf.set("spark.sql.ansi.enabled", "false")
-    child.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    child.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "false")
     return child
