@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -21,6 +22,16 @@ NOT_WORD = r"[^\p{L}\p{M}\p{N}_]"
 JACCARD, SEQUENCE, LOW_JACCARD, LOW_SEQUENCE, COVER = 0.75, 0.40, 0.32, 0.26, 0.88
 
 
+#: Marks a column, in its metadata, whose texts were stripped at ingest.
+STRIPPED = "lakeask.stripped"
+
+
+def plain_strip(text: str) -> str:
+    """strip() for one text on the driver."""
+    space = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), SPACE)
+    return re.sub(f"^{space}+|{space}+$", "", text)
+
+
 def strip(c: Column) -> Column:
     """Both ends free of Unicode white space (Spark's trim knows the space only)."""
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")

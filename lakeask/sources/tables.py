@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lakeask.functions.text import NULL_TOKENS, normalise, number, strip
+from lakeask.functions.text import NULL_TOKENS, STRIPPED, is_numeric, normalise, not_blank, number, strip
 
 SCHEMA_LINE = r"^\s*\(([^:]+):\s*([^,]+),\s*(.*?),?\s*(?:Examples:\s*\[(.*)\])?\s*\)\s*,?\s*$"
 
@@ -30,10 +31,39 @@ def ingest(df: DataFrame, numeric: list[str] = (), null_tokens: tuple[str, ...]
             continue
         clean = normalise(c)
         clean = F.when(~F.lower(clean).isin(*null_tokens), clean)
-        out.append((number(F.regexp_replace(clean, ",", "")) if f.name in numeric else clean).alias(f.name))
+        out.append(number(F.regexp_replace(clean, ",", "")).alias(f.name) if f.name in numeric else clean.alias(f.name, metadata={**f.metadata, STRIPPED: True}))
     return df.select(*out)
 
 
+def infer_numeric(df: DataFrame, share: float = 1.0) -> list[str]:
+    """Text columns whose non-blank cells, thousands commas aside, are numbers in at least that share: one pass over the rows.
+    Columns without a cell are none."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return []
+    clean = {n: normalise(F.col(f"`{n}`")) for n in names}
+    filled = {n: not_blank(clean[n]) & ~F.lower(clean[n]).isin(*NULL_TOKENS) for n in names}
+    found = df.agg(*[f for k, n in enumerate(names) for f in (F.count_if(filled[n]).alias(f"n{k}"), F.count_if(filled[n] & is_numeric(F.regexp_replace(clean[n], ",", ""))).alias(f"m{k}"))]).first()
+    return [n for k, n in enumerate(names) if found[f"n{k}"] and found[f"m{k}"] >= share * found[f"n{k}"]]
+
+
+def drop_blank_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows with a cell, of those columns or of all, that is neither null nor blank."""
+    cells = [F.col(f"`{n}`").cast("string") for n in columns or df.columns]
+    return df.filter(reduce(lambda a, b: a | b, [not_blank(c) for c in cells]))
+
+
+def matched(df: DataFrame, status: str = "status") -> DataFrame:
+    """Rows whose check ended in MATCH."""
+    return df.filter(F.col(f"`{status}`") == "MATCH")
+
+
+def distinct_sample(df: DataFrame, column: str, most: int = 20) -> DataFrame:
+    """(value): the first distinct values of a column that aren't blank, in order."""
+    text = F.col(f"`{column}`").cast("string")
+    return df.filter(not_blank(text)).select(text.alias("value")).distinct().orderBy("value").limit(most)
+
+
 def columns_of(spark: SparkSession, path: str) -> list[str]:
     """Header only: no job over the rows."""
     return [c.strip() for c in spark.read.csv(path, header=True, inferSchema=False).columns]
