@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -47,8 +48,17 @@ def tiers(ranked: DataFrame, required: DataFrame, k: int = K) -> DataFrame:
     return out.select("question_id", "tier", "columns")
 
 
-def schema_prompt(metadata: DataFrame, columns: list[str], inline: DataFrame | None = None, database: str = "db", table: str = "t") -> str:
-    """Prompt text of the known columns, in the given order; unknown ones are left out. Bounded by the schema's width."""
+def selector_listing(metadata: DataFrame, columns: list[str], examples: int = 2) -> str:
+    """Prompt text of candidate columns with their first examples; metadata has column_name, column_description and examples."""
+    found = {r["column_name"]: r for r in metadata.filter(F.col("column_name").isin(columns)).collect()}
+    lines = [f"- {c}: {found[c]['column_description']} (Ex: {', '.join((found[c]['examples'] or [])[:examples])})" for c in columns if c in found]
+    return "\n".join(["[Schema Candidates]", *lines])
+
+
+def schema_prompt(metadata: DataFrame, columns: list[str], inline: DataFrame | None = None, database: str = "db", table: str = "t", shuffle: str | None = None) -> str:
+    """Prompt text of the known columns, in the given order or one drawn by the seed `shuffle`, so that a model doesn't learn
+    places; unknown ones are left out. Bounded by the schema's width."""
+    columns = columns if shuffle is None else sorted(columns, key=lambda c: hashlib.md5(f"{c}{shuffle}".encode()).digest())
     rows = metadata.filter(F.col("column_name").isin(columns))
     rows = rows.join(inline.withColumnRenamed("column", "column_name"), "column_name", "left") if inline is not None else rows.withColumn("inline", F.lit(None).cast("string"))
     found = {r["column_name"]: r for r in rows.collect()}

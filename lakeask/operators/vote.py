@@ -23,8 +23,8 @@ def priority(path: Column) -> Column:
 
 
 def votes(candidates: DataFrame, by: list[str]) -> DataFrame:
-    """(by, fingerprint, votes) of the candidates that have a fingerprint."""
-    return candidates.filter("fingerprint is not null").groupBy(*by, "fingerprint").agg(F.count("*").alias("votes"))
+    """candidates that have a fingerprint, with `votes`: how many of the same `by` have it too. No join: fingerprints are made once."""
+    return candidates.filter("fingerprint is not null").withColumn("votes", F.count("*").over(W.partitionBy(*by, "fingerprint")))
 
 
 def majority(candidates: DataFrame, by: list[str]) -> DataFrame:
@@ -35,9 +35,8 @@ def majority(candidates: DataFrame, by: list[str]) -> DataFrame:
 def select_best(candidates: DataFrame, by: list[str], path: str = "path") -> DataFrame:
     """(by, path, fingerprint, votes, status) of the winner: the largest group's candidate of best priority. If two groups are
     equally large, status is `tie` and priority decides between their candidates."""
-    counted = candidates.join(votes(candidates, by), [*by, "fingerprint"])
     best = F.max("votes").over(W.partitionBy(*by))
-    leaders = counted.withColumn("best", best).filter("votes = best")
+    leaders = votes(candidates, by).withColumn("best", best).filter("votes = best")
     groups = F.size(F.collect_set("fingerprint").over(W.partitionBy(*by)))
     order = W.partitionBy(*by).orderBy(priority(F.col(path)), path)
     ranked = leaders.withColumn("groups", groups).withColumn("place", F.row_number().over(order))
