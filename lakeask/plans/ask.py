@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import re
 import time
-from decimal import ROUND_HALF_UP, Decimal, localcontext
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
 from lakeask.operators import linking, profile, values
 from lakeask.plans import sqlgate
 from lakeask.plans.models import PATHS, CodeEntities, EntityExtractor, Generator, LooseMatch, Repairer, Tokens
+from lakeask.sources import tables
 
 REPAIRS = 2
+#: Paths whose agreement ends the wait for the slow one.
+FAST_PATHS = ("ICL_Path", "Direct_Path")
 
 
 def plain_text(question: str) -> str:
@@ -92,7 +94,8 @@ def choose(candidates: list[Candidate]) -> tuple[Candidate | None, str]:
 
 @dataclass
 class Engine:
-    """One table to ask. metadata: column_name, column_description; examples: pairs of question and SQL."""
+    """One table to ask. metadata: column_name, column_description; examples: pairs of question and SQL. With `cache`, a folder, the
+    value index is kept there with the `stamp` of what it was made from. Generators count their tokens in `tokens`, if given it."""
 
     spark: SparkSession
     table: DataFrame
@@ -104,10 +107,19 @@ class Engine:
     examples: list[tuple[str, str]] = field(default_factory=list)
     k: int = linking.K
     tokens: Tokens = field(default_factory=Tokens)
+    cache: str | None = None
+    stamp: dict[str, str] = field(default_factory=dict)
+    failures: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         names = [f.name for f in self.table.schema]
-        self.values = values.column_values({self.name: (self.table, names)}).cache()
+        saved = tables.load_index(self.spark, self.cache, **self.stamp) if self.cache else None
+        if saved is None:
+            saved = values.column_values({self.name: (self.table, names)})
+            if self.cache:  # the next start with the same stamp - version, file time, model - reads it
+                tables.save_index(saved, self.cache, **self.stamp)
+                saved = tables.load_index(self.spark, self.cache, **self.stamp)
+        self.values = saved.cache()
         self.index = values.exact_index(self.values)
         self.inline = profile.summaries(profile.value_counts(self.table, names)).cache()
         self.width = self.metadata.count()
@@ -145,18 +157,26 @@ class Engine:
         return candidate
 
     def candidates(self, question: str, schema: str, evidence: str, early_stop: bool = True) -> list[Candidate]:
-        """Three paths at once; if two that have run agree, the others are dropped."""
+        """Three paths at once, each with its temperature. When the two fast ones have run and agree, the thinking one isn't waited
+        for; a path that fails or says nothing is left out, and why is kept in `failures`."""
         done: list[Candidate] = []
-        with ThreadPoolExecutor(len(PATHS)) as pool:
-            waiting = {pool.submit(self.generator.generate, p, question, schema, evidence, self.examples if "ICL" in p else []): p for p in PATHS}
+        self.failures = {}
+        pool = ThreadPoolExecutor(len(PATHS))
+        try:
+            waiting = {pool.submit(self.generator.generate, p, question, schema, evidence, self.examples if "ICL" in p else [], t): p for p, t in PATHS.items()}
             for future in as_completed(waiting):
-                sql = extract(future.result())
+                path = waiting[future]
+                try:
+                    sql = extract(future.result())
+                except Exception as error:  # one model call of three
+                    self.failures[path] = f"{type(error).__name__}: {error}"
+                    continue
                 if sql:
-                    done.append(self.try_sql(waiting[future], sql))
-                if early_stop and agreed(done):
-                    for other in waiting:
-                        other.cancel()
+                    done.append(self.try_sql(path, sql))
+                if early_stop and agreed([c for c in done if c.path in FAST_PATHS]):
                     break
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
         done.sort(key=lambda c: list(PATHS).index(c.path))
         return done if agreed(done) else [self.refine(question, c, schema) for c in done]
 
@@ -189,7 +209,7 @@ class Engine:
         if pruned:
             ranked, required, _ = self.link(question, self.entities.extract(question, ""))
             names = [r["column_name"] for r in linking.tier(ranked, required, 1, self.k).collect()]
-        sql = extract(self.generator.generate("Direct_Path", question, linking.schema_prompt(self.metadata, names, None, "db", self.name), "", []))
+        sql = extract(self.generator.generate("Direct_Path", question, linking.schema_prompt(self.metadata, names, None, "db", self.name), "", [], PATHS["Direct_Path"]))
         found = self.try_sql("Direct_Path", sql) if sql else Candidate("Direct_Path", "", "failed")
         return {"final_sql": found.sql, **found.answer(blanks=True), "reason": "baseline", "first_inference_time": time.time() - began, "repair_times": [], "cost_time": time.time() - began, "token_usage": self.tokens.report()}
 

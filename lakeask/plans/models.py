@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import re
 import threading
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from lakeask.functions.text import PROMPT_ECHOES
+from lakeask.plans.replies import text_list
+
 # Sampling temperatures of the generation paths.
 PATHS = {"thinking_path": 0.5, "ICL_Path": 0.1, "Direct_Path": 0.4}
 
@@ -29,7 +33,11 @@ class Endpoint:
 
 
 class Generator(Protocol):
-    def generate(self, path: str, question: str, schema: str, evidence: str, examples: list[tuple[str, str]]) -> str: ...
+    def generate(self, path: str, question: str, schema: str, evidence: str, examples: list[tuple[str, str]], temperature: float) -> str: ...
+
+
+class Paraphraser(Protocol):
+    def paraphrase(self, questions: list[str]) -> list[str]: ...
 
 
 class Repairer(Protocol):
@@ -66,13 +74,42 @@ class CodeEntities:
         return list(dict.fromkeys([*quoted, *runs]))
 
 
+def filter_entities(values: list[str], question: str, columns: list[str]) -> list[str]:
+    """functions.text.entity_filter for one reply on the driver."""
+    edge = ",.;:'\"`，。；：“”‘’、\t\n\x0b\x0c\r \u3000"
+    bare = lambda t: re.sub(r"\s+", "", t)
+    asked = bare(question)
+    short = [bare(v) for v in (v.strip(edge) for v in values) if 0 < len(v) <= 80]
+    return list(dict.fromkeys(v for v in short if v in asked and v not in columns and not any(e in v for e in PROMPT_ECHOES)))
+
+
+@dataclass
+class ModelEntities:
+    """Entities that a chat model names as a JSON list: `ask` takes question and schema. A reply that can't be read is asked for once
+    more; without any, the codes and quoted texts of the question stand in."""
+
+    ask: Callable[[str, str], str]
+    columns: list[str] = field(default_factory=list)
+    attempts: int = 2
+
+    def extract(self, question: str, schema: str) -> list[str]:
+        for _ in range(self.attempts):
+            try:
+                found = text_list(self.ask(question, schema))
+            except Exception:  # a call that fails counts as an attempt
+                found = None
+            if found is not None:
+                return filter_entities(found, question, self.columns)
+        return CodeEntities().extract(question, schema)
+
+
 @dataclass
 class Scripted:
     """Stand-in generator: replies looked up by question, the same for all paths or one for each."""
 
     replies: dict[str, str | dict[str, str]]
 
-    def generate(self, path: str, question: str, schema: str, evidence: str, examples: list[tuple[str, str]]) -> str:
+    def generate(self, path: str, question: str, schema: str, evidence: str, examples: list[tuple[str, str]], temperature: float = 0.0) -> str:
         reply = self.replies.get(question, "")
         return reply if isinstance(reply, str) else reply.get(path, "")
 
