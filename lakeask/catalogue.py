@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeask.functions import arrow, text as X
 from lakeask.operators import dataset, evaluate, linking, profile, retrieve, values, vote
-from lakeask.plans import sqlgate, template
+from lakeask.plans import generate, sqlgate, template
+from lakeask.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +70,28 @@ for _name, (_table, _question, _answer, _slots) in TEMPLATES.items():
     query(template.to_sql(_tree, _table, _slots, "duckdb", NUMBERS[_table]), _name)(lambda spark, d, t=_tree, n=_table, s=_slots: template.to_dataframe(table(spark, d, n), t, s))
 
 
+def _blanked(spark, d):
+    """orders with blank, null and spaced priorities, and prices that are no numbers."""
+    priority = F.expr("CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN '' ELSE o_orderpriority END")
+    price = F.expr("CASE WHEN o_orderpriority = '5-LOW' THEN 'none' WHEN o_orderkey % 3 = 0 THEN NULL ELSE string(cast(o_totalprice AS decimal(18,2))) END")
+    return table(spark, d, "orders").select("o_orderkey", priority.alias("priority"), price.alias("price"), F.concat(F.lit(" "), "o_orderstatus", F.lit("\t")).alias("status"))
+
+
+@query("SELECT o_orderpriority AS priority, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS _val FROM orders WHERE o_custkey % 5 > 2 AND o_orderkey % 3 <> 0 AND o_orderpriority <> '5-LOW' AND o_orderstatus = 'F' GROUP BY 1 ORDER BY 2 DESC LIMIT 9")
+def tmpl_list_blank_keys(spark, d):
+    return template.to_dataframe(_blanked(spark, d), template.parse("status {status}", "listdown{price}{priority}*9"), {"status": ["F "]})
+
+
+@query("SELECT CAST(sum(o_orderkey::HUGEINT * 1000000000000000) AS DOUBLE) AS result FROM orders")
+def tmpl_sum_large(spark, d):
+    return template.to_dataframe(table(spark, d, "orders").select((F.col("o_orderkey").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(18,0)")).alias("n")), template.parse("", "sum{n}"))
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE r_name = 'ASIA'")
+def tmpl_project_all(spark, d):
+    return template.to_dataframe(table(spark, d, "region"), template.parse("region {r_name}", "*"), {"r_name": ["ASIA"]})
+
+
 @query("SELECT value, first, row_number() OVER (ORDER BY first, value)::INTEGER AS rank FROM (SELECT c_mktsegment AS value, min(c_custkey) AS first FROM customer WHERE c_mktsegment IS NOT NULL AND c_mktsegment <> '' GROUP BY 1) ORDER BY first, value LIMIT 3")
 def tmpl_first_n_values(spark, d):
     return template.first_values(table(spark, d, "customer"), "c_mktsegment", 3, "c_custkey")
@@ -87,6 +110,42 @@ def tmpl_fill_samples(spark, d):
     return template.fill(table(spark, d, "orders"), template.parse("{o_orderstatus} {o_orderpriority}", "count{}"), "o_orderkey", 5)
 
 
+_DATASET = [("orders of status {o_orderstatus} and priority {o_orderpriority}", "count{}"), ("price of orders with status {o_orderstatus}", "sum{o_totalprice}"), ("best priorities of status {o_orderstatus}", "listdown{count}{o_orderpriority}*2"), ("broken {o_orderstatus}", "sum{no_such_column}")]
+_SAMPLED = "SELECT *, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '42'), o_orderkey) AS n FROM orders WHERE o_orderstatus <> '' AND o_orderpriority <> ''"
+_PLAIN = "regexp_replace(regexp_replace(CAST({} AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+
+
+@query(
+    f"WITH s AS (SELECT * FROM ({_SAMPLED}) WHERE n <= 3) "
+    f"SELECT {literal(_DATASET[0][0])} AS question_template, concat('orders of status ', o_orderstatus, ' and priority ', o_orderpriority) AS question, (SELECT count(*) FROM orders o WHERE o.o_orderstatus = s.o_orderstatus AND o.o_orderpriority = s.o_orderpriority)::VARCHAR AS answer, 'MATCH' AS status FROM s WHERE n <= 2 "
+    f"UNION ALL SELECT {literal(_DATASET[1][0])}, concat('price of orders with status ', o_orderstatus), (SELECT {_PLAIN.format('round(sum(CAST(o_totalprice AS DECIMAL(38,6))), 2)')} FROM orders o WHERE o.o_orderstatus = s.o_orderstatus), 'MATCH' FROM s "
+    f"UNION ALL SELECT {literal(_DATASET[2][0])}, concat('best priorities of status ', o_orderstatus), (SELECT string_agg(concat(p, '|', c), '，' ORDER BY c DESC, p) FROM (SELECT x.o_orderstatus AS t, o_orderpriority AS p, count(*) AS c, row_number() OVER (PARTITION BY x.o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders x GROUP BY 1, 2) WHERE t = s.o_orderstatus AND r <= 2), 'MATCH' FROM s"
+)
+def dataset_rows(spark, d):
+    """Three samples of each template, of which a former run has one of the first; the broken template gives none."""
+    templates = spark.createDataFrame(_DATASET, "question_template string, answer_template string")
+    before = spark.createDataFrame([(_DATASET[0][0],)], "question_template string")
+    made = generate.dataset(table(spark, d, "orders"), templates, "o_orderkey", 3, before, table="orders")
+    return made.rows.select("question_template", "question", "answer", "status")
+
+
+@query("WITH q AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1) SELECT concat('orders of priority ', p) AS question, n::VARCHAR AS truth, CASE WHEN p = '1-URGENT' THEN NULL ELSE (SELECT count(*) FROM orders)::VARCHAR END AS predicted, p = '1-URGENT' AS failed FROM q WHERE p IN ('1-URGENT', '2-HIGH')")
+def eval_error_log(spark, d):
+    """The questions that a system gets wrong or fails on: one path counts all orders, another has no answer."""
+    orders = table(spark, d, "orders")
+    asked = orders.groupBy("o_orderpriority").count().select(F.concat(F.lit("orders of priority "), "o_orderpriority").alias("question"), F.col("count").cast("string").alias("truth"))
+
+    def system(question):
+        if question.endswith("1-URGENT"):
+            raise ConnectionError("no answer")
+        where = "" if question.endswith("2-HIGH") else f" WHERE o_orderpriority = {literal(question.removeprefix('orders of priority '))}"
+        sql = f"SELECT count(*) AS n FROM orders{where}"
+        return {"final_sql": sql, "execution_result": sqlgate.rows(sqlgate.execute(spark, sql, {"orders": orders})).fetched}
+
+    log = evaluate.run(system, asked)["errors"]
+    return spark.createDataFrame([(r["question"], r["truth"], "，".join(r["predicted"]) if "error" not in r else None, "error" in r) for r in log], "question string, truth string, predicted string, failed boolean")
+
+
 # --- text functions ---------------------------------------------------------------------------------------------------
 
 _HALF = sql_strip(f"regexp_replace(translate(coalesce(text, ''), {literal(X.WIDE)}, {literal(X.NARROW)}), {literal(X.SPACE + '+')}, ' ', 'g')")
@@ -159,14 +218,8 @@ def text_match_form(spark, d):
     return table(spark, d, "part").select("p_partkey", X.match_form(F.col("p_name")).alias("form"))
 
 
-@query("SELECT p_partkey, concat('brand ', p_brand, ' of type ', p_type) AS filled FROM part WHERE p_brand = 'Brand#11'")
-def text_fill_slots(spark, d):
-    asked = F.concat(X.fill_slots(F.lit("brand {p_brand} of type "), {"p_brand": "Brand#11"}), "p_type")
-    return table(spark, d, "part").filter("p_brand = 'Brand#11'").select("p_partkey", asked.alias("filled"))
-
-
 @query("SELECT p_partkey, concat('brand ', p_brand, ' of type ', p_type) AS filled FROM part")
-def text_fill_slots_whole(spark, d):
+def text_fill_slots(spark, d):
     asked = X.fill_slots(F.lit("brand {p_brand} of type {p_type}"), {"p_brand": F.col("p_brand"), "p_type": F.col("p_type")})
     return table(spark, d, "part").select("p_partkey", asked.alias("filled"))
 
@@ -235,22 +288,38 @@ def json_array_recover(spark, d):
 @query("SELECT conv_id, turn, role FROM conversations WHERE (role IS NOT NULL AND role NOT IN ('', 'system')) OR (text IS NOT NULL AND length(text) > 0 AND role <> 'system')")
 def drop_blank_rows(spark, d):
     rows = table(spark, d, "conversations").withColumns({"a": F.nullif(F.col("role"), F.lit("system")), "b": F.when(F.col("role") != "system", F.col("text"))})
-    return rows.filter(X.not_blank(F.col("a")) | X.not_blank(F.col("b"))).select("conv_id", "turn", "role")
+    return tables.drop_blank_rows(rows, ["a", "b"]).select("conv_id", "turn", "role")
+
+
+@query("SELECT o_orderkey, status FROM (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'MATCH' WHEN o_custkey % 3 = 1 THEN 'match' END AS status FROM orders) WHERE status = 'MATCH'")
+def filter_matched(spark, d):
+    status = F.expr("CASE WHEN o_custkey % 3 = 0 THEN 'MATCH' WHEN o_custkey % 3 = 1 THEN 'match' END")
+    return tables.matched(table(spark, d, "orders").select("o_orderkey", status.alias("status")))
 
 
 # --- profiles ---------------------------------------------------------------------------------------------------------
 
+#: Every scalar column of every table and its kind: integer, text, double or time. Tests hold the list against the tables.
 PROFILED = {
-    "orders": {"o_orderkey": "i", "o_custkey": "i", "o_orderstatus": "s", "o_totalprice": "d", "o_orderdate": "t", "o_orderpriority": "s"},
-    "documents": {"doc_id": "i", "lang": "s", "source": "s", "n_chars": "i"},
-    "part": {"p_partkey": "i", "p_name": "s", "p_brand": "s", "p_type": "s", "p_size": "i", "p_retailprice": "d"},
-    "lineitem": {"l_quantity": "d", "l_extendedprice": "d", "l_returnflag": "s", "l_linestatus": "s", "l_shipdate": "t"},
+    "region": {"r_regionkey": "i", "r_name": "s"},
+    "nation": {"n_nationkey": "i", "n_name": "s", "n_regionkey": "i"},
     "customer": {"c_custkey": "i", "c_name": "s", "c_nationkey": "i", "c_acctbal": "d", "c_mktsegment": "s"},
+    "supplier": {"s_suppkey": "i", "s_name": "s", "s_nationkey": "i", "s_acctbal": "d"},
+    "part": {"p_partkey": "i", "p_name": "s", "p_brand": "s", "p_type": "s", "p_size": "i", "p_retailprice": "d"},
+    "orders": {"o_orderkey": "i", "o_custkey": "i", "o_orderstatus": "s", "o_totalprice": "d", "o_orderdate": "t", "o_orderpriority": "s"},
+    "lineitem": {"l_orderkey": "i", "l_partkey": "i", "l_suppkey": "i", "l_linenumber": "i", "l_quantity": "d", "l_extendedprice": "d", "l_discount": "d", "l_tax": "d", "l_returnflag": "s", "l_linestatus": "s", "l_shipdate": "t"},
+    "events": {"event_id": "i", "ts": "t", "user_id": "i", "event_type": "s", "value": "d", "props": "s"},
+    "documents": {"doc_id": "i", "text": "s", "lang": "s", "source": "s", "n_chars": "i"},
+    "embeddings": {"vec_id": "i", "label": "i"},
+    "pages": {"page_id": "i", "url": "s", "html": "s"},
+    "benchmark": {"item_id": "i", "text": "s"},
+    "labels": {"doc_id": "i", "quality": "i", "toxic": "i"},
+    "conversations": {"conv_id": "i", "turn": "i", "role": "s", "text": "s"},
 }
 
 
 def _sql_text(column: str, kind: str) -> str:
-    return {"d": f"CAST({column} AS DECIMAL(18,4))::VARCHAR", "t": f"strftime({column}, '%Y-%m-%d %H:%M:%S')"}.get(kind, f"{column}::VARCHAR")
+    return {"d": f"CAST({column} AS DECIMAL(38,4))::VARCHAR", "t": f"strftime({column}, '%Y-%m-%d %H:%M:%S')"}.get(kind, f"{column}::VARCHAR")
 
 
 def _sql_long(name: str, key: str | None = None) -> str:
@@ -261,45 +330,23 @@ def _sql_profile(long: str, by: str = '"column"') -> str:
     number = f"CASE WHEN regexp_matches(value, {literal(X.NUMBER)}) THEN TRY_CAST(value AS DOUBLE) END"
     return (
         f"SELECT {by}, total, null_count, null_count / total AS null_ratio, distinct_count, CASE WHEN numeric_ THEN 'NUMERIC' ELSE 'TEXT' END AS data_type, "
-        "CASE WHEN numeric_ THEN CAST(round(CAST(low AS DECIMAL(28,6)), 2) AS DOUBLE) END AS min_value, CASE WHEN numeric_ THEN CAST(round(CAST(high AS DECIMAL(28,6)), 2) AS DOUBLE) END AS max_value, distinct_count <= 80 AS is_categorical "
+        "CASE WHEN numeric_ THEN CAST(round(CAST(low AS DECIMAL(38,6)), 2) AS DOUBLE) END AS min_value, CASE WHEN numeric_ THEN CAST(round(CAST(high AS DECIMAL(38,6)), 2) AS DOUBLE) END AS max_value, distinct_count <= 80 AS is_categorical "
         f"FROM (SELECT *, numbers / greatest(total - null_count, 1) > 0.8 AS numeric_ FROM (SELECT {by}, count(*) AS total, count(*) FILTER (value IS NULL) AS null_count, count(DISTINCT value) AS distinct_count, "
         f"count(*) FILTER (regexp_matches(value, {literal(X.NUMBER)})) AS numbers, min({number}) AS low, max({number}) AS high FROM ({long}) GROUP BY {by}))"
     )
 
 
-for _name in PROFILED:
-    query(_sql_profile(_sql_long(_name)), f"profile_{_name}")(lambda spark, d, n=_name: profile.profile(profile.value_counts(table(spark, d, n), list(PROFILED[n]))))
-
-
-@query(" UNION ALL ".join(f"SELECT '{n}' AS \"table\", * FROM ({_sql_profile(_sql_long(n))})" for n in PROFILED))
-def profile_all(spark, d):
-    parts = [profile.profile(profile.value_counts(table(spark, d, n), list(c))).select(F.lit(n).alias("table"), "*") for n, c in PROFILED.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-# The columns of the queries above are fixed by their SQL; the `_whole` forms take every scalar column from the table itself.
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
-def _profiled_whole(spark, d, name):
+def _profiled(spark, d, name):
     return profile.profile(profile.value_counts(table(spark, d, name)))
 
 
-for _name in ("documents", "lineitem"):
-    query(name=f"profile_{_name}_whole")(lambda spark, d, n=_name: _profiled_whole(spark, d, n))
+for _name in ("orders", "documents", "part", "lineitem", "customer"):
+    query(_sql_profile(_sql_long(_name)), f"profile_{_name}")(lambda spark, d, n=_name: _profiled(spark, d, n))
 
 
-@query()
-def profile_all_whole(spark, d):
-    return reduce(DataFrame.unionByName, [_profiled_whole(spark, d, n).select(F.lit(n).alias("table"), "*") for n in TABLES])
-
-
-@query()
-def profile_numeric_range_whole(spark, d):
-    return _profiled_whole(spark, d, "lineitem").filter("data_type = 'NUMERIC'").select("column", "min_value", "max_value")
+@query(" UNION ALL ".join(f"SELECT '{n}' AS \"table\", * FROM ({_sql_profile(_sql_long(n))})" for n in PROFILED))
+def profile_all(spark, d):
+    return reduce(DataFrame.unionByName, [_profiled(spark, d, n).select(F.lit(n).alias("table"), "*") for n in PROFILED])
 
 
 def _sql_top(name: str) -> str:
@@ -321,7 +368,7 @@ def profile_format(spark, d):
 
 @query(f"SELECT \"column\", min_value, max_value FROM ({_sql_profile(_sql_long('lineitem'))}) WHERE data_type = 'NUMERIC'")
 def profile_numeric_range(spark, d):
-    return profile.profile(profile.value_counts(table(spark, d, "lineitem"), list(PROFILED["lineitem"]))).filter("data_type = 'NUMERIC'").select("column", "min_value", "max_value")
+    return _profiled(spark, d, "lineitem").filter("data_type = 'NUMERIC'").select("column", "min_value", "max_value")
 
 
 @query(f"SELECT DISTINCT \"column\", value FROM ({_sql_long('part')}) WHERE value IS NOT NULL AND \"column\" IN (SELECT \"column\" FROM ({_sql_profile(_sql_long('part'))}) WHERE is_categorical)")
@@ -336,7 +383,7 @@ def profile_summary(spark, d):
 
 @query("SELECT p_brand AS value FROM part GROUP BY 1 ORDER BY 1 LIMIT 20")
 def profile_distinct_sample(spark, d):
-    return table(spark, d, "part").select(F.col("p_brand").alias("value")).distinct().orderBy("value").limit(20)
+    return tables.distinct_sample(table(spark, d, "part"), "p_brand")
 
 
 # --- value index ------------------------------------------------------------------------------------------------------
@@ -403,10 +450,13 @@ def literal_in_column(spark, d):
     return values.literals_present(spark.createDataFrame(LITERALS, "column string, value string"), _values(spark, d))
 
 
-@query("SELECT 'o_orderstatus' AS \"column\", 'nowhere' AS value UNION ALL SELECT 'o_orderpriority', '9-NEVER'")
+_ASKED = [("o_orderstatus", "nowhere"), ("o_orderstatus", "F"), ("o_orderpriority", "1-URGENT"), ("o_orderpriority", "9-NEVER"), ("o_orderpriority", "2-HIGH")]
+
+
+@query("SELECT p.\"column\", p.value FROM (VALUES " + ", ".join(f"({literal(c)}, {literal(v)})" for c, v in _ASKED) + ") AS p(\"column\", value) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE (p.\"column\" = 'o_orderstatus' AND o_orderstatus = p.value) OR (p.\"column\" = 'o_orderpriority' AND o_orderpriority = p.value))")
 def literal_mismatch(spark, d):
     orders = table(spark, d, "orders")
-    pairs = sqlgate.where_literals(spark, "SELECT count(*) FROM orders WHERE o_orderstatus = 'nowhere' AND o_orderpriority IN ('1-URGENT', '9-NEVER') AND o_custkey >= 5 AND o_orderstatus <> 'x'")
+    pairs = sqlgate.where_literals(spark, "SELECT count(*) FROM orders WHERE (o_orderstatus = 'nowhere' OR 'F' = o_orderstatus) AND o_orderpriority IN ('1-URGENT', '9-NEVER', '2-HIGH') AND o_custkey >= 5 AND o_orderstatus <> 'x'")
     return spark.createDataFrame(sqlgate.missing_literals(orders, pairs), "column string, value string")
 
 
@@ -421,14 +471,12 @@ def _sql_ranked(question: str) -> str:
     return f"SELECT question_id, column_name, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, column_name)::INTEGER AS rank FROM (SELECT question_id, column_name, CAST(round(CAST(len(list_intersect(q, c)) / len(list_distinct(list_concat(q, c))) AS DECIMAL(20,10)), 6) AS DOUBLE) AS score FROM (SELECT item_id AS question_id, list_distinct(string_split({_form(f'translate({question}, chr(223), chr(115))')}, '')) AS q FROM benchmark), (SELECT column_name, list_distinct(string_split({_form('description')}, '')) AS c FROM (VALUES {_META}) AS m(column_name, description)))"
 
 
-#: The SQL of the first form of these queries is fixed and ranks on 20 characters of a question; that of the `_whole` form on all.
-_RANKED, _RANKED_WHOLE = _sql_ranked("substr(text, 1, 20)"), _sql_ranked("text")
+_RANKED = _sql_ranked("text")
 _REQUIRED = "SELECT item_id AS question_id, 'p_brand' AS column_name FROM benchmark WHERE item_id % 2 = 0 UNION SELECT item_id, 'l_tax' FROM benchmark WHERE item_id % 3 = 0"
 
 
-def _ranked(spark, d, whole=True):
-    text = F.col("text") if whole else F.substring("text", 1, 20)
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.translate(text, "ß", "s").alias("question"))
+def _ranked(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.translate("text", "ß", "s").alias("question"))
     return linking.rank_columns(asked, spark.createDataFrame(METADATA, "column_name string, column_description string"))
 
 
@@ -439,11 +487,6 @@ def _required(spark, d):
 
 @query(f"SELECT question_id, column_name, score, rank FROM ({_RANKED}) WHERE rank <= 6")
 def link_rank_topk(spark, d):
-    return _ranked(spark, d, whole=False).filter(F.col("rank") <= linking.K)
-
-
-@query(f"SELECT question_id, column_name, score, rank FROM ({_RANKED_WHOLE}) WHERE rank <= 6")
-def link_rank_topk_whole(spark, d):
     return _ranked(spark, d).filter(F.col("rank") <= linking.K)
 
 
@@ -458,11 +501,6 @@ def _sql_tiers(ranked: str) -> str:
 
 @query(_sql_tiers(_RANKED))
 def link_tiers(spark, d):
-    return linking.tiers(_ranked(spark, d, whole=False), _required(spark, d))
-
-
-@query(_sql_tiers(_RANKED_WHOLE))
-def link_tiers_whole(spark, d):
     return linking.tiers(_ranked(spark, d), _required(spark, d))
 
 
@@ -483,13 +521,46 @@ def sql_exec_select(spark, d):
     return found.data
 
 
-GATED = {"drop": "DROP TABLE orders", "insert": "INSERT INTO orders VALUES (1)", "set": "SET a=b", "reflect": "SELECT reflect('java.lang.System', 'exit', 0)", "path": "SELECT * FROM parquet.`/tmp/x`", "other": "SELECT * FROM secrets", "column": "SELECT nope FROM orders", "syntax": "SELECT ( FROM orders", "update_time": "SELECT count(*) AS update_time FROM orders", "cte": "WITH a AS (SELECT o_custkey FROM orders) SELECT count(*) AS n FROM a"}
+GATED = {
+    "drop": ("DROP TABLE orders", "REJECTED"), "insert": ("INSERT INTO orders VALUES (1)", "REJECTED"), "set": ("SET a=b", "REJECTED"), "reflect": ("SELECT reflect('java.lang.System', 'exit', 0)", "REJECTED"),
+    "path": ("SELECT * FROM parquet.`/tmp/x`", "REJECTED"), "other": ("SELECT * FROM customer", "REJECTED"), "own_alias": ("SELECT * FROM customer AS customer", "REJECTED"), "subquery_alias": ("SELECT * FROM customer, (SELECT 1 AS a) AS customer", "REJECTED"),
+    "cte_of_itself": ("WITH customer AS (SELECT * FROM customer) SELECT * FROM customer", "REJECTED"), "cte_elsewhere": ("SELECT * FROM customer, (WITH customer AS (SELECT 1 AS a) SELECT a FROM customer) AS x", "REJECTED"),
+    "named_late": ("SELECT * FROM IDENTIFIER('customer')", "REJECTED"), "unlisted_function": ("SELECT uuid()", "REJECTED"), "who": ("SELECT current_user", "REJECTED"), "column": ("SELECT nope FROM orders", "NO_SUCH_COLUMN"), "syntax": ("SELECT ( FROM orders", "SQL_ERROR"),
+    "update_time": ("SELECT count(*) AS update_time FROM orders", ""), "cte": ("WITH a AS (SELECT o_custkey FROM orders), b AS (SELECT * FROM a) SELECT count(*) AS n FROM b", ""),
+}
 
 
-@query("SELECT * FROM (VALUES ('drop', 'REJECTED'), ('insert', 'REJECTED'), ('set', 'REJECTED'), ('reflect', 'REJECTED'), ('path', 'REJECTED'), ('other', 'REJECTED'), ('column', 'NO_SUCH_COLUMN'), ('syntax', 'SQL_ERROR'), ('update_time', ''), ('cte', '')) AS t(name, error)")
+@query("SELECT p.name, p.error, CASE WHEN p.name IN ('update_time', 'cte') THEN (SELECT count(*) FROM orders) END AS n FROM (VALUES " + ", ".join(f"({literal(n)}, {literal(e)})" for n, (_, e) in GATED.items()) + ") AS p(name, error)")
 def sql_gate(spark, d):
-    orders = table(spark, d, "orders")
-    return spark.createDataFrame([(n, sqlgate.execute(spark, s, {"orders": orders}).error) for n, s in GATED.items()], "name string, error string")
+    """Verdicts on statements; those that pass are run. `customer` is a view of the session that isn't handed in."""
+    table(spark, d, "customer").createOrReplaceTempView("customer")
+    try:
+        found = [(n, sqlgate.execute(spark, s, {"orders": table(spark, d, "orders")})) for n, (s, _) in GATED.items()]
+        return spark.createDataFrame([(n, o.error, o.data.first()[0] if o.data else None) for n, o in found], "name string, error string, n long")
+    finally:
+        spark.catalog.dropTempView("customer")
+
+
+def _ran(name: str, oracle: str, of: str, sql: str) -> None:
+    """A query of candidate SQL over one table, through the gate and the dialect."""
+
+    @query(oracle, name)
+    def run(spark, d):
+        found = sqlgate.execute(spark, sql, {of: table(spark, d, of)})
+        if found.data is None:
+            raise RuntimeError(f"{found.error}: {found.detail}")
+        return found.data
+
+
+_ran("sqlite_division", "SELECT l_orderkey, l_linenumber, l_partkey // 7 AS whole, l_quantity / 7 AS part, CASE WHEN l_linenumber > 1 THEN l_partkey // (l_linenumber - 1) END AS by_zero, (l_partkey + 1) // 2 // 3 AS nested FROM lineitem", "lineitem", 'SELECT l_orderkey, "l_linenumber", l_partkey / 7 AS whole, l_quantity / 7 AS part, l_partkey / (l_linenumber - 1) AS by_zero, (l_partkey + 1) / 2 / 3 AS nested FROM lineitem')
+_ran("sqlite_cast_prefix", "SELECT p_partkey, p_size::BIGINT AS prefix, 0::BIGINT AS none, p_size + 0.5::DOUBLE AS real FROM part", "part", "SELECT p_partkey, CAST(p_size || 'abc' AS INTEGER) AS prefix, CAST(p_type AS INT) AS none, CAST(p_size || '.5 x' AS REAL) AS real FROM part")
+_ran("sqlite_text_sum", "SELECT sum(p_size)::DOUBLE AS total, avg(p_size) AS mean, 0.0::DOUBLE AS none FROM part", "part", "SELECT sum(p_size || ' pieces') AS total, avg(p_size || 'x') AS mean, total(p_type) AS none FROM part")
+_ran("sqlite_strftime", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + (o_orderdate - date_trunc('month', o_orderdate)), '%Y-%m-%d') AS next_month, strftime(date_trunc('year', o_orderdate) - INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS year_before, dayofweek(o_orderdate)::VARCHAR AS weekday FROM orders", "orders", "SELECT o_orderkey, strftime('%Y-%m', o_orderdate) AS month, date(o_orderdate, '+1 month') AS next_month, datetime(o_orderdate, 'start of year', '-1 day') AS year_before, strftime('%w', o_orderdate) AS weekday FROM orders")
+_ran("sqlite_glob", "SELECT p_partkey, p_brand GLOB 'Brand#[1-3]?' AS few, p_type GLOB '*[A-M]' AS ending, p_type ILIKE '%sTeel' AS steel FROM part", "part", "SELECT p_partkey, p_brand GLOB 'Brand#[1-3]?' AS few, p_type GLOB '*[A-M]' AS ending, p_type LIKE '%sTeel' AS steel FROM part")
+_ran("sqlite_scalar_max", "SELECT p_partkey, greatest(p_size, 10, p_partkey % 40) AS most, CASE WHEN p_size <> 7 THEN least(p_size, 25) END AS least_, CASE WHEN p_size > 20 THEN 'big' ELSE 'small' END AS kind FROM part", "part", "SELECT p_partkey, MAX(p_size, 10, p_partkey % 40) AS most, MIN(nullif(p_size, 7), 25) AS least_, IIF(p_size > 20, 'big', 'small') AS kind FROM part")
+_ran("sqlite_substr_zero", "SELECT p_partkey, substr(p_name, 1, 4) AS zero, substr(p_name, 2, 3) AS two, CASE WHEN p_size % 2 = 0 THEN substr(p_name, 1, 2) ELSE substr(p_name, 1, 3) END AS either FROM part", "part", "SELECT p_partkey, substr(p_name, 0, 5) AS zero, substr(p_name, 2, 3) AS two, substr(p_name, p_size % 2, 3) AS either FROM part")
+_ran("sqlite_text_compare", "SELECT count(*) FILTER (o_orderkey::VARCHAR = o_orderstatus) AS never, count(*) FILTER (o_custkey % 7 = 3) AS some FROM orders", "orders", "SELECT count(CASE WHEN o_orderkey = o_orderstatus THEN 1 END) AS never, count(CASE WHEN o_custkey % 7 = '3' THEN 1 END) AS some FROM orders")
+_ran("sqlite_group_concat", "SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, '/' ORDER BY o_orderpriority) AS listed FROM orders GROUP BY 1", "orders", "SELECT o_orderstatus, group_concat(o_orderpriority, '/') AS listed FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders ORDER BY o_orderpriority) GROUP BY 1")
 
 
 _CANDIDATES = "SELECT o_custkey % 50 AS question_id, path, CASE WHEN path = 'Direct_Path' AND o_custkey % 3 = 0 THEN 'x' ELSE o_orderstatus END AS a, CASE WHEN path = 'ICL_Path' AND o_custkey % 50 % 5 = 0 THEN 0 ELSE o_custkey % 7 END AS b FROM orders, (VALUES ('thinking_path'), ('ICL_Path'), ('Direct_Path')) AS p(path)"
@@ -566,20 +637,13 @@ def _recall(ranked):
 
 @query(_sql_recall(_RANKED))
 def eval_topk_recall(spark, d):
-    return _recall(_ranked(spark, d, whole=False))
-
-
-@query(_sql_recall(_RANKED_WHOLE))
-def eval_topk_recall_whole(spark, d):
     return _recall(_ranked(spark, d))
 
 
 @query("SELECT p_type, 40 - n AS needed FROM (SELECT p_type, count(*) FILTER (p_size < 5) AS n FROM part GROUP BY 1) WHERE n < 40")
 def eval_resume_needed(spark, d):
-    from lakeask.sources.tables import still_needed
-
     part = table(spark, d, "part")
-    return still_needed(part.select("p_type").distinct(), part.filter("p_size < 5"), "p_type", 40)
+    return tables.still_needed(part.select("p_type").distinct(), part.filter("p_size < 5"), "p_type", 40)
 
 
 @query("SELECT conv_id, string_agg(concat(role, ': ', md5(coalesce(text, ''))), chr(10) ORDER BY turn) AS messages FROM conversations GROUP BY conv_id")

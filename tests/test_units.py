@@ -127,7 +127,7 @@ def test_gate_text_handling(spark):
     assert set(sqlgate.where_literals(spark, "SELECT 1 FROM t WHERE t.a = 'x' AND b <> 'y' AND c >= 'z' AND d IN ('p', 'q') AND 'w' = e")) == {("a", "x"), ("d", "p"), ("d", "q"), ("e", "w")}
     df = spark.createDataFrame([("x", 1)], "a string, n int")
     assert sqlgate.missing_literals(df, [("a", "x"), ("a", "y"), ("zz", "y")]) == [("a", "y")]
-    assert sqlgate.rows(sqlgate.execute(spark, "SELECT 1/(n-1) AS r FROM tt", {"tt": df})).error == "SQL_ERROR"
+    assert sqlgate.rows(sqlgate.execute(spark, "SELECT (SELECT n FROM tt UNION ALL SELECT 2) AS r", {"tt": df})).error == "SQL_ERROR"
 
 
 def test_csv_ingest_and_sinks(spark, tmp_path):
