@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import stage
@@ -20,27 +22,28 @@ KINDS = ("assign", "access", "hex", "ident", "endpoint", "weak")
 SCOPE = 400
 
 
-def _hits(text: Column, kind: int, pattern: str, group: int, least: int, where: Column) -> Column:
-    """Matches of a pattern in order: kind, number, length of the text before (from the last match), own length, whether it
-    counts. Where `where` is false there are none and the pattern isn't run."""
-    p = F.lit(pattern)
-    whole, part = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
-    zipped = F.arrays_zip(whole.alias("m"), part.alias("v"), F.split(text, pattern).alias("g"))
-    found = F.transform(F.filter(zipped, lambda z: z["m"].isNotNull()), lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("number"), F.length(z["g"]).alias("gap"), F.length(z["m"]).alias("size"), (F.length(z["v"]) >= least).alias("ok")))
-    return F.when(where, found)
+#: Pattern, group whose length counts, least length, and the signs without one of which no match can be (None: any text may have one).
+PATTERNS = (
+    (ASSIGN, 2, 6, ("=", ":")), (ACCESS, 0, 20, ("AKIA",)), (HEX, 0, 24, None), (IDENT, 2, 3, ("=", ":")), (ENDPOINT, 2, 3, ("://",)), (WEAK, 0, 20, ("=", ":", "AKIA")),
+)
+_HITS = "array<struct<kind:int,number:int,gap:int,size:int,ok:boolean>>"
+
+
+def _matches(text: Column, kind: int) -> Column:
+    """Does a pattern match? It runs only where a sign of it is found, once over the text."""
+    pattern, _, _, signs = PATTERNS[kind]
+    found = text.rlike(pattern)
+    return found if signs is None else reduce(lambda a, b: a | b, [text.contains(x) for x in signs]) & found
 
 
-def _all_hits(text: Column) -> Column:
-    assigns = text.contains("=") | text.contains(":")
-    parts = [
-        _hits(text, 0, ASSIGN, 2, 6, assigns),
-        _hits(text, 1, ACCESS, 0, 20, text.contains("AKIA")),
-        _hits(text, 2, HEX, 0, 24, text.rlike(HEX)),
-        _hits(text, 3, IDENT, 2, 3, assigns),
-        _hits(text, 4, ENDPOINT, 2, 3, text.contains("://")),
-        _hits(text, 5, WEAK, 0, 20, assigns | text.contains("AKIA")),
-    ]
-    return F.flatten(F.array(*[F.coalesce(p, F.expr("array()").cast("array<struct<kind:int,number:int,gap:int,size:int,ok:boolean>>")) for p in parts]))
+def _hits(text: Column, kind: int) -> Column:
+    """Matches of a pattern in order: kind, number, length of the text before (from the last match), own length, whether it counts.
+    The group is read from the match alone: the pattern begins there and has no look-around where a group counts."""
+    pattern, group, least, _ = PATTERNS[kind]
+    value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern).alias("g"))
+    found = F.transform(F.filter(zipped, lambda z: z["m"].isNotNull()), lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("number"), F.length(z["g"]).alias("gap"), F.length(z["m"]).alias("size"), (F.length(value(z["m"])) >= least).alias("ok")))
+    return F.when(_matches(text, kind), found).otherwise(F.expr("array()").cast(_HITS))
 
 
 def _located(hit_rows: DataFrame) -> DataFrame:
@@ -77,13 +80,15 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     Kinds number KINDS; starts and ends count code points, end exclusive; spans are sorted by start, then kind. assign,
     access and hex are the base findings; ident and weak are parts reported only when at most SCOPE code points
     lie between them and complementary parts; endpoints serve as company only. Null and empty texts have none. Rows without any match never
-    shuffle; rows with one are written once with a row number, so repeated rows and ids are told apart.
+    shuffle, and patterns look for a first match in them only; rows with one are written once with a row number, so repeated rows and ids are told apart.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), _all_hits(text).alias("hits"))
+    row = F.struct(*(keep or ["*"])).alias("row")
     empty = F.expr("array()").cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    clean = rows.filter(F.size("hits") == 0).select("row", empty.alias("spans"))
-    dirty = stage(rows.filter(F.size("hits") > 0).withColumn("rid", F.monotonically_increasing_id()), "hits")
+    any_match = reduce(lambda a, b: a | b, [_matches(text, k) for k in range(len(PATTERNS))])
+    clean = docs.filter(~any_match).select(row, empty.alias("spans"))
+    hits = F.flatten(F.array(*[_hits(text, k) for k in range(len(PATTERNS))]))
+    dirty = stage(docs.filter(any_match).select(row, hits.alias("hits"), F.monotonically_increasing_id().alias("rid")), "hits")
     spans = stage(_located(dirty), "spans")
     found = spans.filter("kind < 3").select("rid", "kind", "start", "end").union(_linked(spans))
     listed = found.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
