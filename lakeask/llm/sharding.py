@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import stage
 
-#: Virtual nodes of a shard, and groups that the rows of an arc are dealt to so that a repeated key has no single task.
-VIRTUAL_NODES, SALTS = 64, 64
+#: Virtual nodes of a shard; parts of an arc, by place, that its rows are ranked in; and parts for rows of hot texts, of which one has
+#: more than one in HOT of all rows, so that no copies have a single task.
+VIRTUAL_NODES, SALTS, HOT_SALTS, HOT = 64, 64, 64, 2000
 
 
 def ring(shards: int, virtual: int = VIRTUAL_NODES) -> tuple[np.ndarray, np.ndarray]:
@@ -71,23 +72,28 @@ def _place(batches: Iterator[pa.RecordBatch], plan: np.ndarray, offsets: np.ndar
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law = 'rows', shard, slot, grown_shard = null) for every row of docs.
 
-    A key's place on the ring is a hash of its id. The bound of a shard is its even share of the rows, so counts differ by
-    at most one; rows beyond the bound go on clockwise, others stay where the ring has them, which limits movement when
-    shards change. Size is the text's UTF-8 bytes (null: none) plus 8. slot numbers a shard's rows from 0 without a gap.
-    Null ids share a place; rows that repeat an id may part when their shard is full. Only counts of arcs - their number
-    is fixed by the shards - reach the driver; no text is shuffled.
+    A row's place on the ring is a hash of its text (null: empty), so equal texts stand together. The bound of a shard is its even
+    share of the rows, so counts differ by at most one; rows beyond the bound go on clockwise, others stay where the ring has
+    them, which limits movement when shards change. Equal texts are parted only where a shard is full, or by its end. Size is the
+    text's UTF-8 bytes (null: none) plus 8. slot numbers a shard's rows from 0 without a gap. Null and repeated ids are rows like
+    any other. Only counts of arcs - their number is fixed by the shards - and of at most HOT texts reach the driver; no text is
+    shuffled.
     """
     positions, owner = ring(shards)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(F.col(id_col).cast("long")).alias("pos"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
-    rows = stage(rows.mapInArrow(partial(_arcs, positions=positions), "id long, size long, text_crc32 long, pos long, salt int, arc int"), "arcs")
-    counts = np.zeros((len(owner), SALTS), np.int64)
-    for arc, salt, n in rows.groupBy("arc", "salt").count().collect():
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("pos"), F.monotonically_increasing_id().alias("number"))
+    rows = stage(rows.mapInArrow(partial(_arcs, positions=positions), "id long, size long, text_crc32 long, pos long, number long, arc int"), "arcs")
+    copies = rows.groupBy("pos").count()
+    hot = copies.filter(F.col("count") > max(rows.count() // HOT, 1000)).select("pos", F.lit(True).alias("hot"))
+    spread = F.pmod("number", F.lit(HOT_SALTS)) + SALTS
+    salted = stage(rows.join(F.broadcast(hot), "pos", "left").withColumn("salt", F.when(F.col("hot"), spread).otherwise(F.pmod(F.xxhash64("pos"), F.lit(SALTS))).cast("int")).drop("hot", "number"), "salted")
+    counts = np.zeros((len(owner), SALTS + HOT_SALTS), np.int64)
+    for arc, salt, n in salted.groupBy("arc", "salt").count().collect():
         counts[arc, salt] = n
     total = int(counts.sum())
     capacity = np.full(shards, total // shards, np.int64) + (np.arange(shards) < total % shards)
     plan = np.array(bounded_plan(counts.sum(axis=1), owner, capacity), np.int64).reshape(-1, 5)
     offsets = np.cumsum(counts, axis=1) - counts
-    ranked = rows.withColumn("rank", (F.row_number().over(W.partitionBy("arc", "salt").orderBy("pos", "id", "text_crc32", "size")) - 1).cast("long"))
+    ranked = salted.withColumn("rank", (F.row_number().over(W.partitionBy("arc", "salt").orderBy("pos", "id", "text_crc32", "size")) - 1).cast("long"))
     placed = ranked.mapInArrow(partial(_place, plan=plan, offsets=offsets), "id long, size long, text_crc32 long, shard int, slot long")
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
