@@ -20,6 +20,8 @@ from .vocabulary import default_path, encoder, pretokens, ranks
 
 #: UTF-8 bytes of text that share one word list; a longer text has a list of its own.
 CHUNK_BYTES = 24 << 20
+#: Most bytes of words and their ids that an encoding task remembers, and what Python needs for a word besides.
+REMEMBER_BYTES, WORD_COST = 128 << 20, 200
 
 _MISSING = "a chunk's words are missing: the input gives other rows each time it is read; write it to a table first"
 
@@ -112,16 +114,22 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Encode each distinct word of the partition once; words are dealt out by their hash, so once in all."""
+    """Encode each distinct word of the partition once; words are dealt out by their hash, so once in all. At most REMEMBER_BYTES
+    of words and ids are held: beyond that the memory is emptied, and the commonest words soon are in it again."""
     single = encoder(path)._encode_single_piece
     known: dict[bytes, bytes] = {}
+    held = 0
     for batch in batches:
         for row in range(batch.num_rows):
             out = []
             for word in _unpack(batch.column("words")[row].as_py()):
                 ids = known.get(word)
                 if ids is None:
+                    if held > REMEMBER_BYTES:
+                        known.clear()
+                        held = 0
                     ids = known[word] = np.array(single(word), "<u4").tobytes()
+                    held += len(word) + len(ids) + WORD_COST
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(row, 1), batch.column("numbers").slice(row, 1), pa.array([_pack(out)], pa.binary())], ["chunk", "numbers", "tokens"])
 
