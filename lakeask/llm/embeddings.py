@@ -55,6 +55,12 @@ def _matrix(column: pa.Array, kind: str) -> dict[int, tuple[np.ndarray, np.ndarr
     return {int(n): (at := np.flatnonzero(sizes == n), np.stack([raw[i] for i in at])) for n in np.unique(sizes)}
 
 
+def in_range(v: np.ndarray) -> np.ndarray:
+    """The vector, or if its square would be lost to overflow or underflow, the vector over a power of two; cosines stay."""
+    top = np.abs(v).max()
+    return v if 1e-130 < top < 1e130 else np.ldexp(v, -np.frexp(top)[1])
+
+
 def _pack(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """Vectors as bytes of the column's own kind of numbers; null where the vector is null, empty, zero, or holds null or non-finite components."""
     for batch in batches:
@@ -63,8 +69,8 @@ def _pack(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBat
             values = x.as_py()
             v = None
             if values and None not in values:
-                v = np.array(values, np.float64)
-                v = v + 0.0 if np.isfinite(v).all() and 0 < (v @ v) < np.inf else None
+                v = np.array(values, np.float64) + 0.0
+                v = in_range(v) if np.isfinite(v).all() and v.any() else None
             out.append(None if v is None else v.astype(kind).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "label", "vec"])
 
@@ -133,19 +139,21 @@ def _bucket_links(rows: pa.Table, threshold: float, bits: int, tables: int, kind
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, miss: float = 1e-3, tile_rows: int = 8_000) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of vectors.
 
-    Rows link when labels are equal and not null and the cosine in double precision is at least `threshold`. Vectors that
+    Rows link when labels, of any type, are equal and not null and the cosine in double precision is at least `threshold`. Vectors that
     are null, empty, zero or hold null or non-finite components link with nothing, as do null labels; vectors of other
     length never link. Identical vectors of a label meet as one row with their number, so copies don't multiply; n_links
-    counts every other row linked directly. Pairs at the threshold are missed with at most probability `miss`. Links
+    counts every other row linked directly. Pairs at the threshold are missed with at most probability `miss`, closer ones with less; nothing
+    else finds them, so recall is held against brute force. Links
     found in several tables count once. Rows that repeat an id count one by one; null ids form no link.
     """
     kind = "<f4" if isinstance(vectors.select(vector_col).schema[0].dataType.elementType, FloatType) else "<f8"
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = stage(rows.mapInArrow(partial(_pack, kind=kind), "id long, label long, vec binary"), "vectors")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    label = rows.schema["label"].dataType.simpleString()
+    rows = stage(rows.mapInArrow(partial(_pack, kind=kind), f"id long, label {label}, vec binary"), "vectors")
     good = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull()
     groups = stage(rows.filter(good).groupBy("label", "vec").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "groups")
     bits, tables = table_plan(groups.count(), threshold, miss)
-    dealt = groups.mapInArrow(partial(_deal, bits=bits, tables=tables, kind=kind), "node long, label long, copies long, vec binary, t int, code long, size int")
+    dealt = groups.mapInArrow(partial(_deal, bits=bits, tables=tables, kind=kind), f"node long, label {label}, copies long, vec binary, t int, code long, size int")
     dealt = dealt.withColumn("key", F.xxhash64("label", "size", "t", "code")).drop("label", "code", "size")
     dealt = tile_hot_keys(dealt, "key", F.col("node"), tile_rows).repartition(*_RUN).sortWithinPartitions(*_RUN)
     found = stage(dealt.mapInArrow(partial(_verify, threshold=threshold, bits=bits, tables=tables, kind=kind), "u long, v long, n long"), "links")
