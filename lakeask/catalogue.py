@@ -184,7 +184,7 @@ def text_clean_number(spark, d):
     return table(spark, d, "orders").select("o_orderkey", raw.alias("raw"), X.clean_number_text(raw).alias("clean"))
 
 
-@query("SELECT p_partkey, concat('size ', p_size, ' key ', p_partkey, ', v1.0x') AS clean FROM part")
+@query("SELECT p_partkey, regexp_replace(concat('size ', p_size, '.0 key ', p_partkey, '.0, v1.0x'), '(^|[^A-Za-z0-9_.])([0-9]+)\\.0\\b', '\\1\\2', 'g') AS clean FROM part")
 def text_drop_dot_zero(spark, d):
     raw = F.concat(F.lit("size "), "p_size", F.lit(".0 key "), "p_partkey", F.lit(".0, v1.0x"))
     return table(spark, d, "part").select("p_partkey", X.drop_dot_zero(raw).alias("clean"))
@@ -206,11 +206,13 @@ def text_code_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(X.code_tokens(F.col("text")), " ").alias("codes"))
 
 
-@query("SELECT p_partkey, concat('p_brand', '|', 'count1 p_type | p_size > 3') AS named, 'p_brand,p_type' AS columns FROM part")
+_ASKING = "concat('parts {p_brand} of ', p_name, ' {', p_type, ' | ', p_size, ' > 3}, {', p_brand, '，p_brand}')"
+
+
+@query(f"SELECT p_partkey, array_to_string(n, '|') AS named, array_to_string(list_sort(list_distinct(list_concat([trim(split_part(n[2], '|', 1)), n[1]], string_split(n[3], '，')))), ',') AS columns FROM (SELECT p_partkey, regexp_extract_all({_ASKING}, '\\{{([^}}]+)\\}}', 1) AS n FROM part)")
 def text_placeholders(spark, d):
-    question = F.concat(F.lit("parts {p_brand} of "), "p_name", F.lit(" {count1 p_type | p_size > 3}"))
-    columns = X.placeholder_columns(F.regexp_replace(question, "count1 ", ""))
-    return table(spark, d, "part").select("p_partkey", F.array_join(X.placeholders(question), "|").alias("named"), F.array_join(columns, ",").alias("columns"))
+    question = F.expr(_ASKING)
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.placeholders(question), "|").alias("named"), F.array_join(X.placeholder_columns(question), ",").alias("columns"))
 
 
 @query(f"SELECT p_partkey, upper(regexp_replace(p_name, {literal(X.NOT_WORD)}, '', 'g')) AS form FROM part")
@@ -504,10 +506,10 @@ def link_tiers(spark, d):
     return linking.tiers(_ranked(spark, d), _required(spark, d))
 
 
-@query("SELECT question_id, string_agg(line, chr(10) ORDER BY line) AS text FROM (SELECT DISTINCT item_id AS question_id, concat('k', item_id, ': ', c, ' = v') AS line FROM benchmark, (VALUES ('a'), ('b')) AS t(c)) GROUP BY 1")
+@query("SELECT question_id, string_agg(line, chr(10) ORDER BY line) AS text FROM (SELECT DISTINCT item_id AS question_id, concat(keyword, ': ', c, ' = ', md5(keyword)) AS line FROM (SELECT item_id, unnest(string_split(text, ' ')) AS keyword FROM benchmark), (VALUES ('a'), ('b')) AS t(c) WHERE length(keyword) > 5) GROUP BY 1")
 def link_evidence(spark, d):
-    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("k"), "item_id").alias("keyword"), F.explode(F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("column_name"), F.lit("v").alias("value"))
-    return linking.evidence_text(rows)
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.split("text", " ")).alias("keyword")).filter(F.length("keyword") > 5)
+    return linking.evidence_text(words.select("*", F.explode(F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("column_name"), F.md5("keyword").alias("value")))
 
 
 # --- gate and vote ----------------------------------------------------------------------------------------------------
@@ -652,10 +654,14 @@ def chat_samples(spark, d):
     return made.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), F.md5(F.coalesce(m["content"], F.lit(""))))), "\n").alias("messages"))
 
 
-@query("SELECT 'left' AS side, count(*) AS n FROM (SELECT o_custkey, o_orderstatus FROM orders EXCEPT ALL SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0) UNION ALL SELECT 'right', 0")
+_SIDES = ("SELECT o_custkey, o_orderstatus FROM orders", "SELECT o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0")
+
+
+@query(f"SELECT 'left' AS side, count(*) AS n FROM ({_SIDES[0]} EXCEPT ALL {_SIDES[1]}) UNION ALL SELECT 'right', count(*) FROM ({_SIDES[1]} EXCEPT ALL {_SIDES[0]})")
 def set_difference(spark, d):
     orders = table(spark, d, "orders")
-    a, b = orders.select("o_custkey", "o_orderstatus"), orders.filter("o_orderkey % 10 <> 0").select("o_custkey", "o_orderstatus")
+    moved = (F.col("o_custkey") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)).alias("o_custkey")
+    a, b = orders.select("o_custkey", "o_orderstatus"), orders.filter("o_orderkey % 10 <> 0").select(moved, "o_orderstatus")
     side = lambda n, x: x.agg(F.count("*").alias("n")).select(F.lit(n).alias("side"), "n")
     return side("left", a.exceptAll(b)).union(side("right", b.exceptAll(a)))
 

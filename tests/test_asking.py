@@ -153,3 +153,14 @@ def test_small_library_forms(spark, goods, meta):
     assert "code | type=TEXT | distinct=3 | common=[A100, B200, C300]" in shown and "price | type=NUMERIC | distinct=3" in shown and "range=[2.00, 5.00]" in shown and "  kind: ['bolt', 'nut']" in shown
     names = ["code", "kind"]
     assert {linking.schema_prompt(meta, names, shuffle=str(k)).index("(kind") > linking.schema_prompt(meta, names, shuffle=str(k)).index("(code") for k in range(12)} == {True, False}
+
+
+def test_queries_meet_items_in_blocks(spark, monkeypatch):
+    from lakeask.operators import retrieve
+
+    rows = [(k, [float(k % 7), float(k % 5) + 1, 1.0]) for k in range(60)]
+    items = spark.createDataFrame(rows, "item_id int, item_vector array<double>")
+    queries = items.toDF("query_id", "query_vector")
+    want = sorted(map(tuple, retrieve.top_k(queries, items).collect()))
+    monkeypatch.setattr(retrieve, "BLOCK", 13)
+    assert sorted(map(tuple, retrieve.top_k(queries, items).collect())) == want and len(want) == 180
