@@ -101,26 +101,51 @@ def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
-def column_generation(demand: np.ndarray, capacity: int, rounds: int = 20_000, gap: float = 5e-4) -> list[tuple[int, np.ndarray]]:
+def first_basis(need: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns in columns, times) that hold `need` exactly, in fractions, the largest sizes first.
+
+    A pattern is used until it exhausts one of its sizes, and later patterns don't hold that one: so there are as many
+    patterns as sizes, in an order of sizes that makes the matrix triangular, and it is a basis of the linear program.
+    """
+    left, columns, times = need.copy(), [], []
+    while (open_ := left > 0).any():
+        pattern, room = np.zeros(len(sizes), np.int64), capacity
+        for k in np.flatnonzero(open_)[::-1]:
+            pattern[k] = room // sizes[k]
+            room -= pattern[k] * sizes[k]
+        lasts = np.divide(left, pattern, out=np.full(len(sizes), np.inf), where=pattern > 0)
+        out = int(lasts.argmin())
+        columns.append(pattern)
+        times.append(lasts[out])
+        left -= lasts[out] * pattern
+        left[open_] = np.maximum(left[open_], np.finfo(float).tiny)  # sizes that end together each get a pattern of their own
+        left[out] = 0
+    return np.array(columns).T, np.array(times)
+
+
+def column_generation(demand: np.ndarray, capacity: int, rounds: int = 20_000, gap: float = 1e-4) -> list[tuple[int, np.ndarray]]:
     """(times, pattern) that together hold `demand[k]` items of size k + 1.
 
     The linear program over patterns is solved by revised simplex steps: the basis inverse gives prices, the knapsack finds
-    the pattern worth most at them, a ratio test lets it in. It ends when no pattern is worth over 1 + gap sequences, which
-    bounds the distance to the optimum by the same share (Farley), or after `rounds` steps. Times are rounded down, and first-fit decreasing patterns hold the few items left.
+    the pattern worth most at them, a ratio test lets it in. Each step's prices bound the optimum from below (Farley: the
+    present sequences by the best pattern's worth), as does the sum of all sizes; it ends when the present sequences are
+    within `gap` of the best bound, or after `rounds` steps. Times are rounded down, and first-fit decreasing patterns hold
+    the few items left.
     """
     sizes = np.flatnonzero(demand)
     if not len(sizes):
         return []
     need = demand[sizes].astype(np.float64)
-    per = capacity // (sizes + 1)
-    patterns = [np.eye(1, len(demand), s, dtype=np.int64)[0] * n for s, n in zip(sizes, per, strict=True)]
-    inverse = np.diag(1 / per.astype(np.float64))
-    x = need / per
+    basis, x = first_basis(need, sizes + 1, capacity)
+    inverse = np.linalg.inv(basis.astype(np.float64))
+    patterns = [np.bincount(sizes, weights=column, minlength=len(demand)).astype(np.int64) for column in basis.T]
+    bound = float(need @ (sizes + 1)) / capacity
     for _ in range(rounds):
         values = np.zeros(len(demand))
         values[sizes] = np.maximum(inverse.sum(axis=0), 0)
         worth, pattern = price(values, capacity)
-        if worth <= 1 + gap:
+        bound = max(bound, float(values[sizes] @ need) / max(worth, 1))
+        if x.sum() <= bound * (1 + gap) or worth <= 1 + 1e-9:
             break
         direction = inverse @ pattern[sizes]
         with np.errstate(divide="ignore", invalid="ignore"):
