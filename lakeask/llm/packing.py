@@ -101,13 +101,15 @@ def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
-def first_basis(need: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns in columns, times) that hold `need` exactly, in fractions, the largest sizes first.
+def first_basis(need: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(patterns in columns, times, inverse of the patterns) that hold `need` exactly, in fractions, the largest sizes first.
 
     A pattern is used until it exhausts one of its sizes, and later patterns don't hold that one: so there are as many
-    patterns as sizes, in an order of sizes that makes the matrix triangular, and it is a basis of the linear program.
+    patterns as sizes, in an order of sizes that makes the matrix triangular, and it is a basis of the linear program. It
+    is inverted as it grows; einsum, as below, keeps to one thread, for which BLAS threads in a driver were seen to wait forever.
     """
     left, columns, times = need.copy(), [], []
+    inverse = np.zeros((len(sizes), len(sizes)))
     while (open_ := left > 0).any():
         pattern, room = np.zeros(len(sizes), np.int64), capacity
         for k in np.flatnonzero(open_)[::-1]:
@@ -115,12 +117,16 @@ def first_basis(need: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.
             room -= pattern[k] * sizes[k]
         lasts = np.divide(left, pattern, out=np.full(len(sizes), np.inf), where=pattern > 0)
         out = int(lasts.argmin())
+        if columns:
+            inverse[len(columns)] = -np.einsum("j,jk->k", np.array([c[out] for c in columns], float), inverse[: len(columns)])
+        inverse[len(columns), out] += 1
+        inverse[len(columns)] /= pattern[out]
         columns.append(pattern)
         times.append(lasts[out])
         left -= lasts[out] * pattern
         left[open_] = np.maximum(left[open_], np.finfo(float).tiny)  # sizes that end together each get a pattern of their own
         left[out] = 0
-    return np.array(columns).T, np.array(times)
+    return np.array(columns).T, np.array(times), inverse
 
 
 def column_generation(demand: np.ndarray, capacity: int, rounds: int = 20_000, gap: float = 1e-4) -> list[tuple[int, np.ndarray]]:
@@ -136,8 +142,7 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 20_000, g
     if not len(sizes):
         return []
     need = demand[sizes].astype(np.float64)
-    basis, x = first_basis(need, sizes + 1, capacity)
-    inverse = np.linalg.inv(basis.astype(np.float64))
+    basis, x, inverse = first_basis(need, sizes + 1, capacity)
     patterns = [np.bincount(sizes, weights=column, minlength=len(demand)).astype(np.int64) for column in basis.T]
     bound = float(need @ (sizes + 1)) / capacity
     for _ in range(rounds):
@@ -147,7 +152,7 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 20_000, g
         bound = max(bound, float(values[sizes] @ need) / max(worth, 1))
         if x.sum() <= bound * (1 + gap) or worth <= 1 + 1e-9:
             break
-        direction = inverse @ pattern[sizes]
+        direction = np.einsum("ij,j->i", inverse, pattern[sizes].astype(np.float64))
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(direction > 1e-9, x / direction, np.inf)
         out = int(ratio.argmin())
