@@ -55,7 +55,9 @@ def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_documents(spark, sf_dir), keep=["doc_id"])
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    number = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    # The inner lambda has one parameter: Spark would hand a second one, k=k say, the place in the array.
+    of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    number = [F.size(of_kind(k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
     return found.select("row.doc_id", *number, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 

@@ -206,6 +206,21 @@ def test_op9_result(spark, sf, texts):
         assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest() and [s for s in r["spans"].split(",") if s.split(":")[0] in plain.BASE] == base
 
 
+def test_op9_counts_each_kind(spark, tmp_path):
+    """Kinds in all orders and numbers, beside linked spans, that the small tables lack."""
+    rng = np.random.default_rng(10)
+    bits = [" token=abcdef ", " Api_Key: \"a-b_c.d\" ", f" {plain.KEY} ", " AKIASHORT ", " deadbeef0123456789abcdef01 ", " 0123456789abcdef ", " client_id: abc123 ", " é🎉 \n", " secret=abc "]
+    rows = [(0, None), (1, ""), (2, "token=abcdef"), (3, plain.KEY), (4, "0123456789abcdef01234567"), (5, "0123456789abcdef01234567 token=abcdef"), (6, "to\u212aen=abcdef \u017fecret=abcdef")]
+    rows += [(k, "".join(rng.choice(bits, rng.integers(1, 12)))) for k in range(7, 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op9_linked_secrets"](spark, str(tmp_path)).collect()}
+    want = {i: plain.base_spans(t) for i, t in rows}
+    counted = {i: tuple(sum(s.startswith(f"{k}:") for s in base) for k in plain.BASE) for i, base in want.items()}
+    assert {i: (r["n_assign"], r["n_access"], r["n_hex"]) for i, r in got.items()} == counted
+    assert {i: r["base_sha256"] for i, r in got.items()} == {i: hashlib.sha256(",".join(base).encode()).hexdigest() for i, base in want.items()}
+    assert len(set(counted.values())) > 30 and any("ident:" in r["spans"] for r in got.values())
+
+
 def linked_by_hand(text):
     """ident and weak spans that a complementary part is within SCOPE of, by all pairs of one text."""
     found = {k: [(m.start(), m.end()) for m in re.finditer(p, text, re.A) if len(m[g]) >= n] for k, (p, g, n, _) in zip(secrets.KINDS, secrets.PATTERNS, strict=True)}
